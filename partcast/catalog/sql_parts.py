@@ -26,7 +26,7 @@ cells AS (
          sum(l_quantity) AS qty, sum(l_extendedprice) AS rev
   FROM lineitem GROUP BY ALL),
 heads AS (
-  SELECT item_id, site_id, round_even(sum(rev) / sum(qty) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS price0
+  SELECT item_id, site_id, floor(sum(rev) / sum(qty) * 100.0::DOUBLE + 0.50001::DOUBLE) / 100.0::DOUBLE AS price0
   FROM cells GROUP BY item_id, site_id),
 series AS (
   SELECT h.item_id, h.site_id, any_value(h.price0) AS price0,

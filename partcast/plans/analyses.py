@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from partcast.config import BAND_PROBS
+from partcast.operators.quantiles import quantile_columns
+
 
 def fleet_means(rows: DataFrame, by: list[str] = (), metrics=("mae", "cost")) -> DataFrame:
     return rows.groupBy(*by, "model").agg(*[F.avg(m).alias(m) for m in metrics])
@@ -18,3 +21,22 @@ def accuracy_vs_cost_rank(rows: DataFrame) -> DataFrame:
     """Fleet means per model with accuracy rank and cost rank."""
     fleet = fleet_means(rows, metrics=("mae", "rmse", "cost", "fill"))
     return fleet.withColumns({"mae_rank": ordinal("mae"), "cost_rank": ordinal("cost")})
+
+
+def naive_scales(train: int, y: str = "y") -> dict[str, str]:
+    """In-sample naive errors: mean |diff| and root mean squared diff."""
+    diffs = [f"(get({y}, {i}) - get({y}, {i - 1}))" for i in range(1, train)]
+    n = f"{train - 1}.0D"
+    return {
+        "naive_mad": "(" + " + ".join(f"abs({d})" for d in diffs) + f") / {n}",
+        "naive_rmsd": "sqrt((" + " + ".join(f"{d} * {d}" for d in diffs) + f") / {n})",
+    }
+
+
+def with_price_band(df: DataFrame, price: str = "price") -> DataFrame:
+    """Band 1..7 between exact price quantiles, the last band closed."""
+    edges = quantile_columns(df, [], price, {f"e{i}": p for i, p in enumerate(BAND_PROBS)})
+    row = edges.select(F.array(*[f"e{i}" for i in range(len(BAND_PROBS))]).alias("e"))
+    inner = len(BAND_PROBS) - 2
+    return df.withColumn("_edges", row.scalar()).withColumn(
+        "band", F.expr(f"1 + size(filter(slice(_edges, 2, {inner}), e -> {price} >= e))")).drop("_edges")

@@ -52,7 +52,7 @@ def demand_series(spark: SparkSession, sf_dir: str, grain: str = "sku") -> DataF
         *sums, F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("rev"))
     quarters = ", ".join(f"q{i:02d}" for i in range(1, QUARTERS + 1))
     return wide.selectExpr(
-        *KEYS, f"array({quarters}) AS y", "rint(rev / qty * 100.0D) / 100.0D AS price0")
+        *KEYS, f"array({quarters}) AS y", "floor(rev / qty * 100.0D + 0.50001D) / 100.0D AS price0")
 
 
 def _mod(expr: Column, n: int) -> Column:
