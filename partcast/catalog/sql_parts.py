@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 from partcast.catalog.rounding import expand
 from partcast.config import CLEAN, MODELS, CostTerms, Window
+from partcast.functions.resampling import mix_columns, poisson_sql
 
 
 def num(x: float) -> str:
@@ -269,5 +270,81 @@ def safe_corr(x: str, y: str) -> str:
             f"sqrt(var_pop({x}) * var_pop({y})) END)")
 
 
+def means(src: str, by: str, metrics: dict[str, str], out: str = "mean_t") -> str:
+    """Model means per group, snapped to six digits."""
+    cols = ", ".join(f"rd6({e}) AS {m}" for m, e in metrics.items())
+    return f"{out} AS (SELECT {by}, model, {cols}, count(*) AS n FROM {src} GROUP BY {by}, model)"
+
+
+def rho(by: str, x: str, y: str, src: str = "mean_t", out: str = "rho_t") -> str:
+    """Rank correlation of two columns per group, over the rows of the group."""
+    return (f"{out} AS (SELECT {by}, {safe_corr('rx', 'ry')} AS rho, count(*) AS m, max(n) AS n FROM ("
+            f"SELECT *, {avg_rank(x, by)} AS rx, {avg_rank(y, by)} AS ry FROM {src}) GROUP BY {by})")
+
+
+def grouped(src: str = "sc", out: str = "g") -> str:
+    """Rows under 'all' and under their price regime."""
+    return (f"{out} AS (SELECT *, 'all' AS grp FROM {src} UNION ALL "
+            f"SELECT *, CASE WHEN price >= 1600 THEN 'holding' ELSE 'stockout' END FROM {src})")
+
+
+def p_value(rho_expr: str, n: int) -> str:
+    """Two-sided t p-value of a rank correlation over n points (odd n - 2)."""
+    df = n - 2
+    assert df % 2 == 1 and df >= 3
+    r2 = f"({rho_expr}) * ({rho_expr})"
+    th = f"atan(abs(({rho_expr}) * sqrt({df} / greatest(1 - {r2}, 1e-12::DOUBLE))) / sqrt({df}))"
+    terms, coef = ["1.0::DOUBLE"], "1.0::DOUBLE"
+    for j in range(1, (df - 1) // 2):
+        coef = f"{coef} * {2 * j} / {2 * j + 1}"
+        terms.append(f"({coef}) * pow(cos({th}), {2 * j})")
+    return (f"CASE WHEN abs({rho_expr}) >= 1 - 1e-12::DOUBLE THEN 0.0::DOUBLE ELSE 1 - 2 / pi() * ({th} + sin({th}) * cos({th}) * ("
+            + " + ".join(terms) + ")) END")
+
+
+def tau(src: str, x: str, y: str, out: str = "tau_t", carry: str = "") -> str:
+    """Tau-b per series by enumerating model pairs."""
+    extra = f", {carry}" if carry else ""
+    pick = "".join(f", any_value(a.{c.strip()}) AS {c.strip()}" for c in carry.split(",") if c)
+    return f"""
+{out}_v AS (SELECT item_id, site_id, model{extra}, rd6({x}) AS vx, rd6({y}) AS vy FROM {src}),
+{out} AS (SELECT * EXCLUDE (s, nx, ny), CASE WHEN nx * ny > 0 THEN s / sqrt(nx * ny) END AS tau FROM (
+  SELECT a.item_id, a.site_id{pick}, sum(sign(a.vx - b.vx) * sign(a.vy - b.vy))::DOUBLE AS s,
+    sum(abs(sign(a.vx - b.vx)))::DOUBLE AS nx, sum(abs(sign(a.vy - b.vy)))::DOUBLE AS ny
+  FROM {out}_v a JOIN {out}_v b ON a.item_id = b.item_id AND a.site_id = b.site_id AND a.model < b.model
+  GROUP BY a.item_id, a.site_id))"""
+
+
+def series_rho(src: str, pairs: dict[str, tuple[str, str]], out: str = "sr", carry: str = "") -> str:
+    """Spearman per series for each named metric pair."""
+    ms = sorted({m for p in pairs.values() for m in p})
+    part = "item_id, site_id"
+    vals = ", ".join(f"rd6({m}) AS v_{m}" for m in ms)
+    ranks = ", ".join(f"{avg_rank('v_' + m, part)} AS r_{m}" for m in ms)
+    extra = f", {carry}" if carry else ""
+    pick = "".join(f", any_value({c.strip()}) AS {c.strip()}" for c in carry.split(",") if c)
+    cors = ", ".join(f"{safe_corr('r_' + x, 'r_' + y)} AS rho_{n}" for n, (x, y) in pairs.items())
+    return f"""
+{out}_v AS (SELECT item_id, site_id{extra}, {vals} FROM {src}),
+{out}_r AS (SELECT item_id, site_id{extra}, {ranks} FROM {out}_v),
+{out} AS (SELECT item_id, site_id{pick}, {cors} FROM {out}_r GROUP BY item_id, site_id)"""
+
+
+def rho_summary(src: str, col: str, by: str = "", where: str = "true") -> str:
+    lead = f"{by}, " if by else ""
+    grp = f" GROUP BY {by}" if by else ""
+    return (f"SELECT {lead}count(*) AS n, rd6(avg(v)) AS mean, rd6(median(v)) AS median, "
+            f"rd6(avg(CASE WHEN v > 0.999 THEN 1.0::DOUBLE ELSE 0 END)) AS share_plus1, rd6(avg(CASE WHEN v < -0.999 THEN 1.0::DOUBLE ELSE 0 END)) AS share_minus1, "
+            f"rd6(avg(CASE WHEN abs(v) > 0.99 THEN 1.0::DOUBLE ELSE 0 END)) AS share_abs99, rd6(avg(CASE WHEN v > 0.9 THEN 1.0::DOUBLE ELSE 0 END)) AS share_gt90 "
+            f"FROM (SELECT *, rd9({col}) AS v FROM {src} WHERE {col} IS NOT NULL AND {where}){grp}")
+
+
+def weights(src: str, replicates: int, seed: int = 42, out: str = "bw", key: str = "item_id * 1000003 + site_id") -> str:
+    """Every row of src once per replicate b with its Poisson weight w."""
+    cols = ", ".join(f"{e} AS {n}" for n, e in mix_columns("_k", "b", seed).items())
+    return (f"{out} AS (SELECT *, {poisson_sql('_h4')} AS w FROM (SELECT *, {cols} FROM ("
+            f"SELECT *, ({key})::BIGINT AS _k FROM {src}) CROSS JOIN (SELECT unnest(range({replicates}))::BIGINT AS b)))")
+
+
 def query(ctes: str, select: str) -> str:
     return expand("WITH RECURSIVE " + ctes.strip() + "\n" + select)

@@ -17,13 +17,14 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def snap(x: Column, digits: int) -> Column:
-    """Round half-even to ``digits`` with plain double arithmetic.
+    """Round to ``digits`` with plain double arithmetic.
 
     Ranks compare metrics for equality, so both sides of a comparison are
-    snapped to a grid first.
+    snapped to a grid first; the small bias sends exact decimal ties that
+    carry floating-point noise the same way.
     """
     scale = float(10**digits)
-    return F.rint(x * F.lit(scale)) / F.lit(scale)
+    return F.floor(x * scale + 0.50001) / scale
 
 
 def clip(x: Column, lo: Column, hi: Column) -> Column:

@@ -78,8 +78,9 @@ def interval(stats: DataFrame, value: str, by: list[str] = (), lo: float = 0.025
 def mean_interval(df: DataFrame, value: str, replicates: int = 1000, by: list[str] = (), seed: int = 42,
                   key: str = UNIT, engine: str = "numpy") -> DataFrame:
     """Mean of a per-unit value with its bootstrap interval, nulls excluded."""
-    valid = df.where(F.col(value).isNotNull())
-    sums = replicate_sums(valid, [value], replicates, by, seed, key, engine)
-    ci = interval(sums.where("w > 0").withColumn("_m", F.col(value) / F.col("w")), "_m", by)
-    point = valid.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    return point.join(ci, list(by)) if by else point.crossJoin(ci)
+    keys = list(by) or ["_all"]
+    valid = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit("all"))
+    sums = replicate_sums(valid, [value], replicates, keys, seed, key, engine)
+    ci = interval(sums.where("w > 0").withColumn("_m", F.col(value) / F.col("w")), "_m", keys)
+    point = valid.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    return point.join(ci, keys).select(*by, "mean", "n", "lo", "hi", "p_le_zero", "replicates")

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from partcast import config as C
 from partcast.config import BAND_PROBS
+from partcast.functions import arrays as A, smoothing as S
+from partcast.functions.guarded import snap, t_two_sided_p
 from partcast.operators.quantiles import quantile_columns
+from partcast.plans.compare import model_vectors
+from partcast.plans.costing import regime
+from partcast.sources.fixtures import KEYS
 
 
 def fleet_means(rows: DataFrame, by: list[str] = (), metrics=("mae", "cost")) -> DataFrame:
@@ -40,3 +46,103 @@ def with_price_band(df: DataFrame, price: str = "price") -> DataFrame:
     inner = len(BAND_PROBS) - 2
     return df.withColumn("_edges", row.scalar()).withColumn(
         "band", F.expr(f"1 + size(filter(slice(_edges, 2, {inner}), e -> {price} >= e))")).drop("_edges")
+
+
+def regime_groups(rows: DataFrame) -> DataFrame:
+    """Each row under 'all' and under its price regime."""
+    return rows.selectExpr("*", f"explode(array('all', {regime()})) AS grp")
+
+
+def fleet_vectors(rows: DataFrame, by: list[str], metrics: list[str], weight: str | None = None) -> DataFrame:
+    """Model means as arrays, one row per group (models in name order)."""
+    if weight is None:
+        means = rows.groupBy(*by, "model").agg(
+            *[F.avg(m).alias(m) for m in metrics], F.count("*").alias("n"))
+    else:
+        means = rows.groupBy(*by, "model").agg(
+            *[F.expr(f"sum({weight} * {m}) / sum({weight})").alias(m) for m in metrics], F.count("*").alias("n"))
+    return vectors_of(means, by, metrics)
+
+
+def vectors_of(means: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    fields = [F.col("model")] + [snap(F.col(m), 6).alias(m) for m in metrics]
+    packed = means.groupBy(*by).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(*fields))).alias("_v"))
+    return packed.select(
+        *by, "n", F.expr("transform(_v, e -> e.model)").alias("models"),
+        *[F.expr(f"transform(_v, e -> e.{m})").alias(m) for m in metrics])
+
+
+def fleet_rho(rows: DataFrame, by: list[str], x: str = "mae", y: str = "cost", weight: str | None = None) -> DataFrame:
+    """Rank correlation of model means with its p-value, per group."""
+    v = fleet_vectors(rows, by, [x, y], weight)
+    v = v.withColumn("rho", A.spearman(F.col(x), F.col(y)))
+    return v.withColumn("p", rho_p_value("rho", "size(models)"))
+
+
+def rho_p_value(rho: str, n: str):
+    df = F.expr(f"({n}) - 2")
+    t = F.expr(f"{rho} * sqrt((({n}) - 2) / greatest(1.0D - {rho} * {rho}, 1e-12D))")
+    return F.when(F.abs(F.col(rho)) >= 1.0 - 1e-12, 0.0).otherwise(t_two_sided_p(t, df))
+
+
+def per_series_stats(rows: DataFrame, pairs: dict[str, tuple[str, str]], carry: list[str] = ()) -> DataFrame:
+    """Per series: tau-b and Spearman of each named metric pair over the models."""
+    metrics = sorted({m for p in pairs.values() for m in p})
+    v = model_vectors(rows, metrics, list(carry))
+    out = {}
+    for name, (x, y) in pairs.items():
+        out[f"tau_{name}"] = A.kendall_tau_b(F.col(x), F.col(y))
+        out[f"rho_{name}"] = A.spearman(F.col(x), F.col(y))
+    return v.withColumns(out)
+
+
+def rho_summary(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
+    """n, mean, median and shares at the ends of a per-series rank statistic."""
+    keys = list(by) or ["_all"]
+    src = df.withColumn("_all", F.lit(1)).where(F.col(col).isNotNull()).withColumn("_s", snap(F.col(col), 9))
+    counts = src.groupBy(*keys, "_s").agg(F.count("*").alias("_k"))
+    return counts.groupBy(*keys).agg(
+        F.sum("_k").alias("n"), F.expr("sum(_s * _k) / sum(_k)").alias("mean"),
+        F.percentile("_s", 0.5, F.col("_k")).alias("median"),
+        F.expr("sum(if(_s > 0.999D, _k, 0)) / sum(_k)").alias("share_plus1"),
+        F.expr("sum(if(_s < -0.999D, _k, 0)) / sum(_k)").alias("share_minus1"),
+        F.expr("sum(if(abs(_s) > 0.99D, _k, 0)) / sum(_k)").alias("share_abs99"),
+        F.expr("sum(if(_s > 0.9D, _k, 0)) / sum(_k)").alias("share_gt90"),
+    ).drop("_all")
+
+
+def mechanical(rows: DataFrame) -> DataFrame:
+    """Accuracy-cost correlation with and without the forecast level, per regime."""
+    v = fleet_vectors(regime_groups(rows), ["grp"], ["level", "mae", "cost", "hold_cost", "short_cost"])
+    pair = lambda a, b: A.spearman(F.col(a), F.col(b))
+    v = v.withColumns({
+        "mae_cost": pair("mae", "cost"), "mae_level": pair("mae", "level"), "level_cost": pair("level", "cost"),
+        "mae_hold": pair("mae", "hold_cost"), "mae_short": pair("mae", "short_cost"),
+    })
+    return v.withColumn("partial", F.expr(
+        "(mae_cost - mae_level * level_cost) / sqrt(greatest(1.0D - mae_level * mae_level, 1e-12D)"
+        " * greatest(1.0D - level_cost * level_cost, 1e-12D))"))
+
+
+def dm_matrix(rows: DataFrame, window: C.Window, by: list[str] = ()) -> DataFrame:
+    """Diebold-Mariano statistics of every ordered model pair.
+
+    Pairs are formed inside the series row, so the table never joins to
+    itself; each loss difference is pooled over series and quarters.
+    """
+    it = S.items("test", 0, window.horizon)
+    sq = "array(" + ", ".join(f"(level - {x}) * (level - {x})" for x in it) + ")"
+    packed = rows.withColumn("_sq", F.expr(sq)).groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("model", "_sq"))).alias("_v"))
+    pairs = packed.selectExpr(
+        "explode(flatten(transform(sequence(1, size(_v) - 1), i -> transform(slice(_v, i + 1, size(_v)),"
+        " o -> struct(_v[i - 1].model AS a, o.model AS b, zip_with(_v[i - 1]._sq, o._sq, (x, z) -> x - z) AS d))))) AS p",
+    ).selectExpr("p.a AS a", "p.b AS b", "explode(p.d) AS d")
+    half = pairs.groupBy("a", "b").agg(
+        F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count("*").alias("n"))
+    half = half.withColumn("stat", F.expr("if(sd > 0, mean / (sd / sqrt(n)), 0.0D)"))
+    # pooled samples are large: the t tail equals the normal tail to displayed precision
+    half = half.withColumn("sign", F.expr("if(abs(stat) > 1.959963984540054D, CAST(signum(stat) AS INT), 0)"))
+    flip = half.selectExpr("b AS a", "a AS b", "n", "-stat AS stat", "-sign AS sign")
+    return half.select("a", "b", "n", "stat", "sign").unionByName(flip)

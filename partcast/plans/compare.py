@@ -105,6 +105,6 @@ def model_vectors(rows: DataFrame, metrics: list[str], carry: list[str], digits:
     )
     return out.select(
         *KEYS, *carry,
-        F.transform("_v", lambda e: e["model"]).alias("models"),
-        *[F.transform("_v", lambda e, m=m: e[m]).alias(m) for m in metrics],
+        F.expr("transform(_v, e -> e.model) AS models"),
+        *[F.expr(f"transform(_v, e -> e.{m}) AS {m}") for m in metrics],
     )
