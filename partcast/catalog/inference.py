@@ -251,11 +251,12 @@ def scaled_family_rho(spark, sf):
 inc AS (SELECT item_id, site_id, any_value(act) AS act, list_median(any_value(test)) = 0 AS m0, list(mae ORDER BY kk) AS v FROM lr GROUP BY ALL)""", """
 SELECT m0, count(*) AS n, rd6(avg(CASE WHEN v[2] > v[1] AND v[3] > v[2] AND v[4] > v[3] AND v[5] > v[4] AND v[6] > v[5] THEN 1.0::DOUBLE ELSE 0 END)) AS share FROM inc WHERE act GROUP BY m0"""))
 def scaled_family_monotone(spark, sf):
-    fc = S.with_forecasts(P.prepared_panel(spark, sf), models=("SBA",), equal_info=True).where("f_SBA > 0")
+    fc = S.with_forecasts(P.prepared_panel(spark, sf), models=("SBA",), equal_info=True)
     it = S.items("y", 16, 20)
     mae = {f"_m{i}": S.total([f"abs({k}D * f_SBA - {x})" for x in it]) + " / 4.0D" for i, k in enumerate(C.SCALE_FAMILY)}
     up = " AND ".join(f"_m{i} > _m{i - 1}" for i in range(1, len(C.SCALE_FAMILY)))
     d = S.extend(fc, mae | {"test": "slice(y, 17, 4)", "up": f"if({up}, 1.0D, 0.0D)"})
+    d = S.keep_if(d, "f_SBA > 0")
     return d.groupBy((A.median(F.col("test")) == 0).alias("m0")).agg(F.count("*").alias("n"), r(F.avg("up"), 6, "share"))
 
 
@@ -335,7 +336,7 @@ UNION ALL SELECT 'crps', (SELECT count(*) FROM cm), (SELECT rd6(avg(d_crps)) FRO
 def pinball_common_set(spark, sf):
     pairs = {k: DIST_PAIRS[k] for k in ("mae_cost", "pin_cost", "crps_cost")}
     t = N.per_series_stats(dist_rows(spark, sf).where("test_demand > 0"), pairs)
-    both = t.where("rho_mae_cost IS NOT NULL AND rho_pin_cost IS NOT NULL AND rho_crps_cost IS NOT NULL")
+    both = S.keep_if(t, "rho_mae_cost IS NOT NULL AND rho_pin_cost IS NOT NULL AND rho_crps_cost IS NOT NULL")
     long = both.selectExpr(*KEYS, "inline(array(struct('pinball' AS metric, rho_pin_cost - rho_mae_cost AS d), struct('crps' AS metric, rho_crps_cost - rho_mae_cost AS d)))")
     return B.mean_interval(long, "d", BREP, ["metric"]).select("metric", "n", r("mean"), r("lo"), r("hi"))
 

@@ -23,6 +23,16 @@ def extend(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{e} AS {name}" for name, e in exprs.items()])
 
 
+def keep_if(df: DataFrame, condition: str) -> DataFrame:
+    """Rows where ``condition`` holds, for conditions on costly computed columns.
+
+    A plain filter is pushed below the projections that compute its columns,
+    which repeats their whole expression; a generator is not.
+    """
+    kept = df.selectExpr("*", f"explode(if({condition}, array(1), array())) AS _kept")
+    return kept.drop("_kept")
+
+
 def items(y: str, start: int, end: int) -> list[str]:
     """Elements [start, end) of an array column."""
     return [f"get({y}, {i})" for i in range(start, end)]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from partcast.functions.resampling import mix_columns, mix_numpy, poisson_numpy, poisson_sql
-from partcast.functions.smoothing import extend
+from partcast.functions.smoothing import extend, keep_if
 
 UNIT = "item_id * 1000003 + site_id"
 CHUNK = 128
@@ -79,7 +79,7 @@ def mean_interval(df: DataFrame, value: str, replicates: int = 1000, by: list[st
                   key: str = UNIT, engine: str = "numpy") -> DataFrame:
     """Mean of a per-unit value with its bootstrap interval, nulls excluded."""
     keys = list(by) or ["_all"]
-    valid = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit("all"))
+    valid = keep_if(df.withColumn("_all", F.lit("all")), f"{value} IS NOT NULL")
     sums = replicate_sums(valid, [value], replicates, keys, seed, key, engine)
     ci = interval(sums.where("w > 0").withColumn("_m", F.col(value) / F.col("w")), "_m", keys)
     point = valid.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))

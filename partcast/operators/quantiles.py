@@ -20,23 +20,22 @@ def exact_quantiles(
     """
     key = list(by) or ["_all"]
     src = df.withColumn("_all", F.lit(0)).select(*key, F.col(value).cast("double").alias("_v"))
-    src = src.where("_v IS NOT NULL")
     pad = 2.0 / accuracy
     lo = [max(p - pad, 0.0) for p in probs]
     hi = [min(p + pad, 1.0) for p in probs]
     brackets = src.groupBy(*key).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
+        F.count("_v").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
         F.percentile_approx("_v", lo, accuracy).alias("_lo"),
         F.percentile_approx("_v", hi, accuracy).alias("_hi"),
     )
+    # rows below a bracket are folded into one null cell, rows above it are dropped
     want = ", ".join(
         f"struct({p!r}D AS prob, if(_n <= {10 * accuracy}, _mn, _lo[{i}]) AS lo,"
         f" if(_n <= {10 * accuracy}, _mx, _hi[{i}]) AS hi)" for i, p in enumerate(probs))
-    brackets = brackets.selectExpr(*key, "_n", f"inline(array({want}))")
-    tagged = (
-        src.join(F.broadcast(brackets), key).where("_v <= hi")
-        .selectExpr(*key, "prob", "_n", "if(_v < lo, NULL, _v) AS _v")
-    )
+    brackets = brackets.selectExpr(*key, "_n", f"array({want}) AS _want")
+    tagged = src.join(F.broadcast(brackets), key).selectExpr(
+        *key, "_n", "inline(transform(filter(_want, w -> _v <= w.hi),"
+        " w -> struct(w.prob AS prob, if(_v < w.lo, NULL, _v) AS _v)))")
     cells = tagged.groupBy(*key, "prob", "_n", "_v").agg(F.count("*").alias("_c"))
     up_to = W.partitionBy(*key, "prob").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
         W.unboundedPreceding, 0)
@@ -61,12 +60,3 @@ def quantile_columns(
     ]
     return long.groupBy(*by).agg(*aggs)
 
-
-def discrete_quantile(df: DataFrame, by: list[str], value: str, names: dict[str, float]) -> DataFrame:
-    """Quantiles of a statistic with few different values (rank statistics).
-
-    Values are counted first; the aggregate then sees each value once.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*by).agg(*[
-        F.percentile(F.col(value), p, F.col("_n")).alias(name) for name, p in names.items()])

@@ -100,11 +100,11 @@ def per_series_stats(rows: DataFrame, pairs: dict[str, tuple[str, str]], carry:
 def rho_summary(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     """n, mean, median and shares at the ends of a per-series rank statistic."""
     keys = list(by) or ["_all"]
-    src = df.withColumn("_all", F.lit(1)).where(F.col(col).isNotNull()).withColumn("_s", snap(F.col(col), 9))
-    counts = src.groupBy(*keys, "_s").agg(F.count("*").alias("_k"))
+    src = df.withColumn("_all", F.lit(1)).withColumn("_s", snap(F.col(col), 9))
+    counts = src.groupBy(*keys, "_s").agg(F.count("_s").alias("_k"))
     return counts.groupBy(*keys).agg(
         F.sum("_k").alias("n"), F.expr("sum(_s * _k) / sum(_k)").alias("mean"),
-        F.percentile("_s", 0.5, F.col("_k")).alias("median"),
+        F.percentile("_s", 0.5, F.col("_k")).alias("median"),  # the null cell has count 0
         F.expr("sum(if(_s > 0.999D, _k, 0)) / sum(_k)").alias("share_plus1"),
         F.expr("sum(if(_s < -0.999D, _k, 0)) / sum(_k)").alias("share_minus1"),
         F.expr("sum(if(abs(_s) > 0.99D, _k, 0)) / sum(_k)").alias("share_abs99"),
@@ -146,3 +146,18 @@ def dm_matrix(rows: DataFrame, window: C.Window, by: list[str] = ()) -> DataFram
     half = half.withColumn("sign", F.expr("if(abs(stat) > 1.959963984540054D, CAST(signum(stat) AS INT), 0)"))
     flip = half.selectExpr("b AS a", "a AS b", "n", "-stat AS stat", "-sign AS sign")
     return half.select("a", "b", "n", "stat", "sign").unionByName(flip)
+
+
+def lag_regression(train: int, y: str = "y") -> dict[str, str]:
+    """Per-series regression on the previous quarter, as column arithmetic.
+
+    Falls back to the training mean when the lagged values do not vary.
+    """
+    x, z = S.items(y, 0, train - 1), S.items(y, 1, train)
+    return {
+        "_sx": S.total(x), "_sz": S.total(z), "_sxx": S.total([f"{a} * {a}" for a in x]),
+        "_sxz": S.total([f"{a} * {b}" for a, b in zip(x, z)]),
+        "_den": f"{train - 1}.0D * _sxx - _sx * _sx",
+        "_slope": f"if(_den > 0, ({train - 1}.0D * _sxz - _sx * _sz) / greatest(_den, 1e-300D), 0.0D)",
+        "f_LOCAL": f"if(_den > 0, (_sz - _slope * _sx) / {train - 1}.0D + _slope * get({y}, {train - 1}), w_mean)",
+    }
