@@ -315,10 +315,6 @@ gg AS (SELECT arm, 'all' AS grp, model, mae, cost FROM arms
   UNION ALL SELECT arm, CASE WHEN hi THEN 'realised_holding' ELSE 'realised_stockout' END, model, mae, cost FROM arms JOIN real USING (arm, item_id, site_id)),"""
   + Q.means("gg", "arm, grp", {"mae": "avg(mae)", "cost": "avg(cost)"}) + "," + Q.rho("arm, grp", "mae", "cost"), "SELECT arm, grp, n, rd6(rho) AS rho FROM rho_t"))
 def specification_regime_rho(spark, sf):
-    from pyspark.sql import Window as W
     rows = K.arm_rows(P.prepared_panel(spark, sf))
-    # the realised label averages the bounded set of models of one series
-    per = W.partitionBy("arm", *KEYS)
-    rows = rows.withColumn("_hi", F.avg("hold_cost").over(per) >= F.avg("short_cost").over(per))
-    g = rows.selectExpr("*", f"explode(array('all', concat('fixed_', {K.regime()}), if(_hi, 'realised_holding', 'realised_stockout'))) AS grp")
+    g = rows.selectExpr("*", f"explode(array('all', concat('fixed_', {K.regime()}), concat('realised_', realised))) AS grp")
     return N.fleet_rho(g, ["arm", "grp"]).select("arm", "grp", "n", r("rho"))

@@ -384,11 +384,7 @@ def bootstrap_model_cost(spark, sf):
     models = list(MODELS)
     rows = scored(spark, sf)
     wide = I.wide_metrics(rows, models, ["cost"], [])
-    point = rows.groupBy("model").agg(F.avg("cost").alias("c"))
-    cheapest = point.agg(F.expr("min_by(model, struct(floor(c * 1e6D + 0.50001D) AS v, model))")).scalar()
-    means = I.bootstrap_means(wide, models, ["cost"], BREP)
-    pick = F.create_map(*[x for m in models for x in (F.lit(m), F.col(f"cost_{m}"))])[cheapest]
-    d = I.paired_differences(means.withColumn("cost__best", pick), models, "_best")
+    d = I.paired_differences(I.bootstrap_means(wide, models, ["cost"], BREP, point=True), models)
     return d.select("model", r("lo", 3), r("hi", 3), r("diff_lo", 3), r("diff_hi", 3), "resolved")
 
 

@@ -18,7 +18,7 @@ CHUNK = 128
 
 def replicate_sums(
     df: DataFrame, metrics: list[str], replicates: int, by: list[str] = (), seed: int = 42,
-    key: str = UNIT, engine: str = "numpy",
+    key: str = UNIT, engine: str = "numpy", point: bool = False,
 ) -> DataFrame:
     """Poisson-weighted sums of ``metrics`` per replicate: columns b, w, metric...
 
@@ -26,6 +26,9 @@ def replicate_sums(
     a null metric carry weight in ``w``; give each metric set its own call or
     filter first.
 
+    ``point`` adds replicate -1 with every weight 1: the plain estimate from
+    the same pass.
+
     engine "numpy": every Arrow batch multiplies its (replicates x units)
     weights by its (units x metrics) block and a task emits one partial row
     per replicate and group; the exchange carries partial sums only.
@@ -35,11 +38,15 @@ def replicate_sums(
     src = df.selectExpr(*by, f"CAST({key} AS BIGINT) AS _k", *metrics)
     if engine == "sql":
         rows = src.selectExpr("*", f"explode(sequence(0L, {replicates - 1}L)) AS b")
-        rows = extend(rows, mix_columns("_k", "b", seed) | {"_w": poisson_sql()})
+        if point:
+            rows = src.selectExpr("*", f"explode(sequence(-1L, {replicates - 1}L)) AS b")
+        w = f"if(b < 0, 1.0D, {poisson_sql()})" if point else poisson_sql()
+        rows = extend(rows, mix_columns("_k", "greatest(b, 0L)", seed) | {"_w": w})
         return rows.groupBy(*by, "b").agg(
             F.sum("_w").alias("w"), *[F.expr(f"sum(_w * {m})").alias(m) for m in metrics])
 
     by = list(by)
+    plain = 1 if point else 0
     fields = [src.schema[c] for c in by] + [StructField("b", LongType())]
     fields += [StructField(c, DoubleType()) for c in ["w", *metrics]]
 
@@ -49,15 +56,19 @@ def replicate_sums(
             groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
             for g, part in groups:
                 x = np.column_stack([np.ones(len(part)), part[metrics].to_numpy(np.float64)])
-                acc = sums.setdefault(g, np.zeros((replicates, x.shape[1])))
+                acc = sums.setdefault(g, np.zeros((replicates + plain, x.shape[1])))
                 keys = part["_k"].to_numpy()
                 for lo in range(0, replicates, CHUNK):
                     b = np.arange(lo, min(lo + CHUNK, replicates))
                     w = poisson_numpy(mix_numpy(keys, b, seed))
                     acc[lo:lo + len(b)] += w.T @ x
+                if point:
+                    acc[-1] += x.sum(axis=0)
         for g, acc in sums.items():
             out = pd.DataFrame(acc, columns=["w", *metrics])
-            out.insert(0, "b", np.arange(replicates, dtype=np.int64))
+            ids = np.arange(replicates + plain, dtype=np.int64)
+            ids[replicates:] = -1
+            out.insert(0, "b", ids)
             for name, value in zip(by, g if isinstance(g, tuple) else (g,)):
                 out.insert(0, name, value)
             yield out[[f.name for f in fields]]

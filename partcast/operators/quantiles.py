@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 def exact_quantiles(
     df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 10_000,
+    only: str = "true",
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per group and probability.
 
@@ -17,6 +18,7 @@ def exact_quantiles(
 
     ``by`` must be bounded by configuration (model, segment, band ...): the
     bracket table has one row per group and is broadcast on that ground.
+    ``only`` restricts the wanted probabilities per group, e.g. ``prob = level``.
     """
     key = list(by) or ["_all"]
     src = df.withColumn("_all", F.lit(0)).select(*key, F.col(value).cast("double").alias("_v"))
@@ -32,7 +34,8 @@ def exact_quantiles(
     want = ", ".join(
         f"struct({p!r}D AS prob, if(_n <= {10 * accuracy}, _mn, _lo[{i}]) AS lo,"
         f" if(_n <= {10 * accuracy}, _mx, _hi[{i}]) AS hi)" for i, p in enumerate(probs))
-    brackets = brackets.selectExpr(*key, "_n", f"array({want}) AS _want")
+    brackets = brackets.selectExpr(*key, "_n", f"inline(array({want}))").where(only).groupBy(*key, "_n").agg(
+        F.collect_list(F.struct("prob", "lo", "hi")).alias("_want"))
     tagged = src.join(F.broadcast(brackets), key).selectExpr(
         *key, "_n", "inline(transform(filter(_want, w -> _v <= w.hi),"
         " w -> struct(w.prob AS prob, if(_v < w.lo, NULL, _v) AS _v)))")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from partcast import config as C
 from partcast.config import CLEAN, CostTerms, Window
@@ -91,9 +91,14 @@ def arm_rows(panel: DataFrame, models: tuple[str, ...] = C.MODELS) -> DataFrame:
         stocks = ", ".join(f"struct('{a[0]}' AS arm, {initial_stock(a[4])} AS opening)" for a in arms)
         rows = rows.selectExpr("*", f"inline(array({stocks}))")
         done = with_costs(replay(rows, w.horizon, start="opening"))
+        # the realised label averages the bounded set of models of one series,
+        # whose rows still sit together: no exchange
+        per = W.partitionBy(*KEYS, "arm")
+        done = done.withColumn("realised", F.when(
+            F.avg("hold_cost").over(per) >= F.avg("short_cost").over(per), "holding").otherwise("stockout"))
         out.append(done.select(
             "arm", "model", *KEYS, "segment", "price", "mae", "cost", "hold_cost", "short_cost",
-            "order_cost", "n_orders", "fill", "test_demand"))
+            "order_cost", "n_orders", "fill", "test_demand", "realised"))
     df = out[0]
     for other in out[1:]:
         df = df.unionByName(other)
@@ -114,25 +119,29 @@ def arm_diagnostics(rows: DataFrame) -> DataFrame:
         best("cost").alias("cheapest"), best("mae").alias("most_accurate"))
 
 
-def fill_matched(rows: DataFrame, horizon: int, rounds: int = 3, points: int = 65, top: float = 8.0) -> DataFrame:
+def fill_matched(
+    rows: DataFrame, horizon: int, points: tuple[int, ...] = (65, 17, 17, 17), top: float = 8.0,
+) -> DataFrame:
     """Scale each model's quantile policy to the fill of its normal policy.
 
     Each round replays a grid of scale factors, aggregates to one fill per
-    (model, factor), and narrows to the first bracket that reaches the target;
-    the bracket table (one row per model) is carried as a column expression.
+    (model, factor), and narrows to the first bracket that reaches the target
+    (final width top / 64 / 16^3 = 3e-5); the brackets, one per model, enter
+    the next round as literals.  The fitted rows are kept between rounds.
     Fill is not monotone in the factor for every series, so the first crossing
     is taken and further crossings are reported.
     """
+    rows = rows.persist()
     target_rows = with_costs(replay(with_normal_policy(rows), horizon))
     target = target_rows.groupBy("model").agg(F.avg("fill").alias("target"), F.avg("cost").alias("cost_normal"))
     base = rows.select(*KEYS, "model", "level", "quantiles", "tier", "lead_q", "price", "test")
     brackets = {r["model"]: (0.0, top, r["target"], r["cost_normal"]) for r in target.collect()}
     state: dict[str, dict] = {}
-    for step in range(rounds):
+    for step, n in enumerate(points):
         cases = lambda i: "CASE model " + " ".join(
             f"WHEN '{m}' THEN {b[i]!r}D" for m, b in brackets.items()) + " END"
         grid = base.selectExpr("*", f"{cases(0)} AS _lo", f"{cases(1)} AS _hi").selectExpr(
-            "*", f"explode(transform(sequence(0, {points - 1}), i -> _lo + (_hi - _lo) * i / {points - 1}.0D)) AS kappa")
+            "*", f"explode(transform(sequence(0, {n - 1}), i -> _lo + (_hi - _lo) * i / {n - 1}.0D)) AS kappa")
         done = with_costs(replay(with_quantile_policy(grid, kappa="kappa"), horizon))
         curve = done.groupBy("model", "kappa").agg(F.avg("fill").alias("fill"), F.avg("cost").alias("cost"))
         points_of: dict[str, list] = {}
@@ -153,6 +162,7 @@ def fill_matched(rows: DataFrame, horizon: int, rounds: int = 3, points: int = 6
                 brackets[m] = (pts[reach[0] - 1][0], pts[reach[0]][0], goal, normal)
             else:
                 brackets[m] = (lo, lo, goal, normal)
+    rows.unpersist()
     out = [(m, float(s["kappa"]), bool(s["capped"]), int(s["crossings"]), s["target"], s["fill"],
             s["cost_normal"], s["cost"], 100.0 * (s["cost"] - s["cost_normal"]) / s["cost_normal"])
            for m, s in sorted(state.items())]

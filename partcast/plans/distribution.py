@@ -107,8 +107,8 @@ def conformal_factors(rows: DataFrame) -> DataFrame:
     ratios = rows.selectExpr("model", "train", "posexplode(quantiles) AS (i, q)").selectExpr(
         "model", f"{levels}[i] AS level", "greatest(q, 1e-9D) AS q", "explode(train) AS x",
     ).selectExpr("model", "level", "x / q AS ratio")
-    found = exact_quantiles(ratios, ["model", "level"], "ratio", list(QUANTILE_LEVELS))
-    return found.where("prob = level").select("model", "level", F.col("value").alias("factor"))
+    found = exact_quantiles(ratios, ["model", "level"], "ratio", list(QUANTILE_LEVELS), only="prob = level")
+    return found.select("model", "level", F.col("value").alias("factor"))
 
 
 def conformalise(rows: DataFrame, factors: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ only those rows are exchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from partcast.functions import arrays as A
 from partcast.functions.guarded import snap
@@ -23,10 +23,10 @@ def wide_metrics(rows: DataFrame, models: list[str], metrics: list[str], carry:
 
 
 def bootstrap_means(wide: DataFrame, models: list[str], metrics: list[str], replicates: int,
-                    by: list[str] = (), seed: int = 42, engine: str = "numpy") -> DataFrame:
+                    by: list[str] = (), seed: int = 42, engine: str = "numpy", point: bool = False) -> DataFrame:
     """Replicate means of every metric and model, the same weight for all models."""
     cols = [f"{x}_{m}" for x in metrics for m in models]
-    sums = replicate_sums(wide, cols, replicates, by, seed, UNIT, engine).where("w > 0")
+    sums = replicate_sums(wide, cols, replicates, by, seed, UNIT, engine, point).where("w > 0")
     return sums.select(*by, "b", *[(F.col(c) / F.col("w")).alias(c) for c in cols])
 
 
@@ -40,11 +40,19 @@ def bootstrap_rho(means: DataFrame, models: list[str], by: list[str] = (), x: st
     return interval(v.withColumn("_rho", A.spearman(F.col("_x"), F.col("_y"))), "_rho", by)
 
 
-def paired_differences(means: DataFrame, models: list[str], cheapest: str, metric: str = "cost") -> DataFrame:
-    """Interval of each model's mean minus the cheapest model's, same replicate."""
+def paired_differences(means: DataFrame, models: list[str], metric: str = "cost") -> DataFrame:
+    """Interval of each model's mean minus the cheapest model's, same replicate.
+
+    ``means`` holds the plain estimate as replicate -1, which names the
+    cheapest model; the table has one row per replicate.
+    """
+    pairs = ", ".join(
+        f"struct(floor({metric}_{m} * 1e6D + 0.50001D) AS v, '{m}' AS model)" for m in sorted(models))
+    best = F.max(F.expr(f"if(b = -1, array_min(array({pairs})).model, NULL)")).over(W.partitionBy(F.lit(0)))
+    case = "CASE _best " + " ".join(f"WHEN '{m}' THEN {metric}_{m}" for m in models) + " END"
     diffs = ", ".join(
-        f"struct('{m}' AS model, {metric}_{m} AS value, {metric}_{m} - {metric}_{cheapest} AS diff)" for m in models)
-    long = means.selectExpr("b", f"inline(array({diffs}))")
+        f"struct('{m}' AS model, {metric}_{m} AS value, {metric}_{m} - {case} AS diff)" for m in models)
+    long = means.withColumn("_best", best).where("b >= 0").selectExpr("b", f"inline(array({diffs}))")
     return long.groupBy("model").agg(
         F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"),
         F.percentile("diff", 0.025).alias("diff_lo"), F.percentile("diff", 0.975).alias("diff_hi"),
