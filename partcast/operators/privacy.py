@@ -37,7 +37,7 @@ def surrogate_blake2b(col: Column, namespace: str, prefix: str, salt: str, width
             return f"{prefix}{int.from_bytes(h.digest(), 'big') % 10**width:0{width}d}"
         seen = values.dropna().unique()
         codes = {v: (one(v) if v else "") for v in seen}
-        return values.map(codes)
+        return pd.Series([codes.get(v) if isinstance(v, str) else None for v in values], dtype=object)
 
     return encode(col.cast("string"))
 

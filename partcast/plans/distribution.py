@@ -7,6 +7,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from partcast.config import QUANTILE_LEVELS, Window
 from partcast.functions import smoothing as S
@@ -19,7 +20,7 @@ def uncross(quantiles: str) -> Column:
     return F.expr(f"transform({quantiles}, (v, i) -> array_max(slice({quantiles}, 1, i + 1)))")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def count_quantiles(weight: pd.Series, mean: pd.Series, disp: pd.Series) -> pd.Series:
     """Smallest k with CDF(k) >= level, for 0 mixed with a count distribution.
 
