@@ -293,6 +293,7 @@ def critical_fractile_series(spark, sf):
 # --- distributional channel -----------------------------------------------------------------------
 
 LV = C.QUANTILE_LEVELS
+QMODELS = ("ZIP", "HURDLE_NB", "EXT")
 
 
 def _pin_sql(q, lv):
@@ -320,7 +321,7 @@ def dist_rows(spark, sf):
 @add("distributional_channel", Q.query(DIST + "," + Q.series_rho("dd", DIST_PAIRS, carry="test_demand"), " UNION ALL ".join(
     f"SELECT '{n}' AS pair, n, mean, median, share_abs99 FROM ({Q.rho_summary('sr', 'rho_' + n, where='test_demand > 0')})" for n in DIST_PAIRS)))
 def distributional_channel(spark, sf):
-    t = N.per_series_stats(dist_rows(spark, sf).where("test_demand > 0"), DIST_PAIRS)
+    t = N.per_series_stats(dist_rows(spark, sf).where("test_demand > 0"), DIST_PAIRS, models=QMODELS)
     long = t.selectExpr("inline(array(" + ", ".join(f"struct('{n}' AS pair, rho_{n} AS v)" for n in DIST_PAIRS) + "))")
     return N.rho_summary(long, "v", ["pair"]).select("pair", "n", r("mean"), r("median"), r("share_abs99"))
 
@@ -335,7 +336,7 @@ SELECT 'pinball' AS metric, (SELECT count(*) FROM cm) AS n, (SELECT rd6(avg(d_pi
 UNION ALL SELECT 'crps', (SELECT count(*) FROM cm), (SELECT rd6(avg(d_crps)) FROM cm), rd6(quantile_cont(d_crps, 0.025)), rd6(quantile_cont(d_crps, 0.975)) FROM bm"""))
 def pinball_common_set(spark, sf):
     pairs = {k: DIST_PAIRS[k] for k in ("mae_cost", "pin_cost", "crps_cost")}
-    t = N.per_series_stats(dist_rows(spark, sf).where("test_demand > 0"), pairs)
+    t = N.per_series_stats(dist_rows(spark, sf).where("test_demand > 0"), pairs, models=QMODELS)
     both = S.keep_if(t, "rho_mae_cost IS NOT NULL AND rho_pin_cost IS NOT NULL AND rho_crps_cost IS NOT NULL")
     long = both.selectExpr(*KEYS, "inline(array(struct('pinball' AS metric, rho_pin_cost - rho_mae_cost AS d), struct('crps' AS metric, rho_crps_cost - rho_mae_cost AS d)))")
     return B.mean_interval(long, "d", BREP, ["metric"]).select("metric", "n", r("mean"), r("lo"), r("hi"))

@@ -189,7 +189,7 @@ def comparison_ledger(spark, sf):
     rows = P.scored_from(spark, sf, with_external=True)
     model = rows.groupBy("model").agg(r(F.avg("mae"), 6, "mae"), r(F.avg("cost"), 3, "cost"), r(F.avg("fill"), 6, "fill")).selectExpr(
         "'model' AS analysis", "model AS grp", "inline(array(struct('mae' AS metric, mae AS value), struct('cost' AS metric, cost AS value), struct('fill' AS metric, fill AS value)))")
-    t = N.per_series_stats(rows, {"mc": ("mae", "cost")}, ["test_demand"]).selectExpr(
+    t = N.per_series_stats(rows, {"mc": ("mae", "cost")}, ["test_demand"], M10).selectExpr(
         "explode(array('pooled', if(test_demand > 0, 'active', 'zero'))) AS grp", "tau_mc")
     tau = t.groupBy("grp").agg(r(F.avg("tau_mc"), 6, "m"), F.count("tau_mc").cast("double").alias("n")).selectExpr(
         "'tau' AS analysis", "grp", "inline(array(struct('mean' AS metric, m AS value), struct('n' AS metric, n AS value)))")

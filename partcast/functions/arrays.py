@@ -1,7 +1,9 @@
-"""Rank statistics on short array columns (one element per model).
+"""Rank statistics across the models of one row.
 
 A row carries one value per model, so these never grow with the data; they
-are evaluated in place, without a shuffle.
+are evaluated in place, without a shuffle.  Array forms serve small tables of
+any width; the text forms below unroll a known list of value columns into
+plain arithmetic for per-series use.
 """
 
 from __future__ import annotations
@@ -91,3 +93,32 @@ def median(a: Column) -> Column:
     lo = F.element_at(s, F.floor((n + 1) / 2).cast("int"))
     hi = F.element_at(s, F.floor(n / 2).cast("int") + 1)
     return (lo + hi) / 2.0
+
+
+def _plus(parts: list[str]) -> str:
+    return "(" + " + ".join(parts) + ")"
+
+
+def rank_columns(prefix: str, values: list[str]) -> dict[str, str]:
+    """Fractional ranks prefix0.. of value columns, ties sharing positions."""
+    return {
+        f"{prefix}{i}": "0.5D + " + _plus([f"if({z} < {x}, 1.0D, if({z} = {x}, 0.5D, 0.0D))" for z in values])
+        for i, x in enumerate(values)
+    }
+
+
+def spearman_text(rx: list[str], ry: list[str]) -> str:
+    """Rank correlation from rank columns; null when a side is constant."""
+    n = len(rx)
+    mean = (n + 1) / 2.0
+    dot = lambda a, b: _plus([f"({u} - {mean}D) * ({v} - {mean}D)" for u, v in zip(a, b)])
+    return f"try_divide({dot(rx, ry)}, sqrt({dot(rx, rx)} * {dot(ry, ry)}))"
+
+
+def tau_text(xs: list[str], ys: list[str]) -> str:
+    """Tau-b from value columns; null when a side is constant."""
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i + 1, len(xs))]
+    sx = [f"signum({xs[i]} - {xs[j]})" for i, j in pairs]
+    sy = [f"signum({ys[i]} - {ys[j]})" for i, j in pairs]
+    both = _plus([f"{a} * {b}" for a, b in zip(sx, sy)])
+    return f"try_divide({both}, sqrt({_plus([f'abs({a})' for a in sx])} * {_plus([f'abs({b})' for b in sy])}))"

@@ -9,7 +9,6 @@ from partcast.config import BAND_PROBS
 from partcast.functions import arrays as A, smoothing as S
 from partcast.functions.guarded import snap, t_two_sided_p
 from partcast.operators.quantiles import quantile_columns
-from partcast.plans.compare import model_vectors
 from partcast.plans.costing import regime
 from partcast.sources.fixtures import KEYS
 
@@ -86,15 +85,25 @@ def rho_p_value(rho: str, n: str):
     return F.when(F.abs(F.col(rho)) >= 1.0 - 1e-12, 0.0).otherwise(t_two_sided_p(t, df))
 
 
-def per_series_stats(rows: DataFrame, pairs: dict[str, tuple[str, str]], carry: list[str] = ()) -> DataFrame:
-    """Per series: tau-b and Spearman of each named metric pair over the models."""
+def per_series_stats(
+    rows: DataFrame, pairs: dict[str, tuple[str, str]], carry: list[str] = (), models: tuple[str, ...] = C.MODELS,
+) -> DataFrame:
+    """Per series: tau-b and Spearman of each named metric pair over the models.
+
+    Values are snapped to a 1e-6 grid before they are compared.
+    """
     metrics = sorted({m for p in pairs.values() for m in p})
-    v = model_vectors(rows, metrics, list(carry))
-    out = {}
-    for name, (x, y) in pairs.items():
-        out[f"tau_{name}"] = A.kendall_tau_b(F.col(x), F.col(y))
-        out[f"rho_{name}"] = A.spearman(F.col(x), F.col(y))
-    return v.withColumns(out)
+    wide = rows.groupBy(*KEYS).agg(
+        *[F.first(c).alias(c) for c in carry],
+        *[F.expr(f"max(if(model = '{m}', floor({x} * 1e6D + 0.50001D) / 1e6D, NULL)) AS v_{x}_{i}")
+          for x in metrics for i, m in enumerate(models)])
+    ix = range(len(models))
+    cols = {x: [f"v_{x}_{i}" for i in ix] for x in metrics}
+    ranks = {x: [f"r_{x}_{i}" for i in ix] for x in metrics}
+    wide = S.extend(wide, {k: e for x in metrics for k, e in A.rank_columns(f"r_{x}_", cols[x]).items()})
+    out = {f"tau_{n}": A.tau_text(cols[x], cols[y]) for n, (x, y) in pairs.items()}
+    out |= {f"rho_{n}": A.spearman_text(ranks[x], ranks[y]) for n, (x, y) in pairs.items()}
+    return wide.selectExpr(*KEYS, *carry, *[f"{e} AS {n}" for n, e in out.items()])
 
 
 def rho_summary(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partcast.config import QUARTERS
-from partcast.functions.smoothing import extend
+from partcast.functions.smoothing import extend, items, total
 
 KEYS = ["item_id", "site_id"]
 
@@ -65,7 +65,7 @@ def with_raw_attributes(df: DataFrame) -> DataFrame:
     The segment uses the published demand-pattern cut-offs (fixed values:
     average demand interval 1.32, squared coefficient of variation 0.49).
     """
-    pos = "filter(y, x -> x > 0)"
+    q = items("y", 0, QUARTERS)
     seg = ("CASE WHEN NOT seg_sparse AND NOT seg_varied THEN 'Smooth' WHEN NOT seg_sparse THEN 'Erratic' "
            "WHEN NOT seg_varied THEN 'Intermittent' ELSE 'Lumpy' END")
     return extend(df, {
@@ -79,9 +79,9 @@ def with_raw_attributes(df: DataFrame) -> DataFrame:
                    "WHEN 3 THEN 'B ' WHEN 4 THEN 'C' WHEN 5 THEN 'X' END",
         "strategy_raw": "CASE WHEN item_id % 9 < 5 THEN concat('Strategy ', item_id % 9 + 1) WHEN item_id % 9 = 5 "
                         "THEN 'Other' WHEN item_id % 9 = 6 THEN ' Strategy 1 ' WHEN item_id % 9 = 7 THEN 'strategy 9' END",
-        "seg_n": f"CAST(size({pos}) AS DOUBLE)",
-        "seg_s": "aggregate(y, 0.0D, (a, x) -> a + x)",
-        "seg_ss": "aggregate(y, 0.0D, (a, x) -> a + x * x)",
+        "seg_n": total([f"if({x} > 0, 1.0D, 0.0D)" for x in q]),
+        "seg_s": total(q),
+        "seg_ss": total([f"{x} * {x}" for x in q]),
         "seg_sparse": f"{QUARTERS}.0D / greatest(seg_n, 1e-9D) >= 1.32D",
         "seg_varied": "seg_n * seg_ss - seg_s * seg_s >= 0.49D * (seg_s * seg_s)",
         "segment_raw": f"CASE WHEN item_id % 17 = 0 THEN NULL WHEN item_id % 19 = 0 THEN concat(' ', {seg}, ' ') ELSE {seg} END",

@@ -43,6 +43,20 @@ def test_tau_and_spearman(spark):
             assert r["rho"] is None
 
 
+def test_unrolled_statistics_equal_array_forms(spark):
+    rng = np.random.default_rng(8)
+    rows = [tuple(float(v) for v in rng.integers(0, 4, 10)) for _ in range(80)] + [tuple([1.0] * 5 + [2.0, 3.0, 1.0, 0.0, 2.0])]
+    xs, ys = [f"x{i}" for i in range(5)], [f"y{i}" for i in range(5)]
+    df = spark.createDataFrame(rows, [*xs, *ys])
+    ranks = A.rank_columns("p", xs) | A.rank_columns("q", ys)
+    df = df.selectExpr("*", *[f"{e} AS {n}" for n, e in ranks.items()])
+    df = df.selectExpr("*", f"{A.tau_text(xs, ys)} AS tau", f"{A.spearman_text([f'p{i}' for i in range(5)], [f'q{i}' for i in range(5)])} AS rho")
+    df = df.withColumns({"xa": F.array(*xs), "ya": F.array(*ys)})
+    for r in df.select("tau", "rho", A.kendall_tau_b(F.col("xa"), F.col("ya")).alias("t2"), A.spearman(F.col("xa"), F.col("ya")).alias("r2")).collect():
+        for a, b in ((r["tau"], r["t2"]), (r["rho"], r["r2"])):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b))
+
+
 def test_t_tail(spark):
     # published two-sided 5 % points of Student's t
     points = [(1, 12.706), (2, 4.303), (3, 3.182), (7, 2.365), (8, 2.306), (9, 2.262), (30, 2.042)]
