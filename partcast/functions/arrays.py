@@ -96,13 +96,15 @@ def median(a: Column) -> Column:
 
 
 def _plus(parts: list[str]) -> str:
-    return "(" + " + ".join(parts) + ")"
+    """Sum of many terms as an array fold: keeps the fused method of the stage
+    before it small enough to be compiled."""
+    return f"aggregate(array({', '.join(parts)}), 0.0D, (s, v) -> s + v)"
 
 
 def rank_columns(prefix: str, values: list[str]) -> dict[str, str]:
     """Fractional ranks prefix0.. of value columns, ties sharing positions."""
     return {
-        f"{prefix}{i}": "0.5D + " + _plus([f"if({z} < {x}, 1.0D, if({z} = {x}, 0.5D, 0.0D))" for z in values])
+        f"{prefix}{i}": "0.5D + " + " + ".join(f"if({z} < {x}, 1.0D, if({z} = {x}, 0.5D, 0.0D))" for z in values)
         for i, x in enumerate(values)
     }
 

@@ -11,6 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 
+def join_by(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on columns, null matching null.
+
+    Besides keeping null groups, a null-safe condition lets the optimiser infer
+    no IS NOT NULL filter, which it would push below the projections that
+    compute the columns and so repeat them.
+    """
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    on = [left[c].eqNullSafe(other[f"_r_{c}"]) for c in cols]
+    return left.join(other, on).drop(*[f"_r_{c}" for c in cols])
+
+
 def key_hash(*cols: str, seed: int | None = None) -> Column:
     """Hex digest used as a reproducible random order, independent of layout."""
     parts = [F.col(c).cast("string") for c in cols]
@@ -39,7 +51,7 @@ def running_share(df: DataFrame, group: str, count: str, key: str, digits: int =
     )
     inside = W.partitionBy(group, count, "_b").orderBy("_h", key)
     rows = rows.withColumn("_rn", F.row_number().over(inside))
-    out = rows.join(cells, [group, count, "_b"])
+    out = join_by(rows, cells, [group, count, "_b"])
     out = out.withColumn("running", F.col("_before") + F.col("_rn") * F.col(count))
     return out.withColumn("share", F.col("running") / F.col("group_total")).drop(
         "_h", "_b", "_rn", "_before")
@@ -57,14 +69,17 @@ def stratified_sample(
     rows = df.withColumn("_h", key_hash(*key, seed=seed))
     rows = rows.withColumn("_b", F.substring("_h", 1, digits))
     counts = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
-    cells = counts.select(*strata).distinct().agg(F.count("*").alias("_cells"))
-    cap = F.greatest(F.lit(1), F.ceil(F.lit(float(target)) / F.greatest(cells.scalar(), F.lit(1))))
     ahead = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    open_cells = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-        .withColumn("_cap", cap).where("_before < _cap").select(*strata, "_b", "_cap")
-    )
-    near = rows.join(open_cells, [*strata, "_b"])
+    # the cell table holds strata x 16^digits rows at most, whatever the data size
+    everything = W.partitionBy(F.lit(0))
+    counts = counts.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)),
+        "_first": F.row_number().over(W.partitionBy(*strata).orderBy("_b")) == 1,
+    }).withColumn("_cells", F.sum(F.col("_first").cast("int")).over(everything))
+    open_cells = counts.withColumn(
+        "_cap", F.greatest(F.lit(1), F.ceil(F.lit(float(target)) / F.col("_cells")))
+    ).where("_before < _cap").select(*strata, "_b", "_cap")
+    near = join_by(rows, open_cells, [*strata, "_b"])
     order = W.partitionBy(*strata).orderBy("_h", *key)
     return (
         near.withColumn("_rn", F.row_number().over(order)).where("_rn <= _cap")

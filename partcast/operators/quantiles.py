@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from partcast.operators.ordering import join_by
+
 
 def exact_quantiles(
     df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 10_000,
@@ -36,7 +38,7 @@ def exact_quantiles(
         f" if(_n <= {10 * accuracy}, _mx, _hi[{i}]) AS hi)" for i, p in enumerate(probs))
     brackets = brackets.selectExpr(*key, "_n", f"inline(array({want}))").where(only).groupBy(*key, "_n").agg(
         F.collect_list(F.struct("prob", "lo", "hi")).alias("_want"))
-    tagged = src.join(F.broadcast(brackets), key).selectExpr(
+    tagged = join_by(src, F.broadcast(brackets), key).selectExpr(
         *key, "_n", "inline(transform(filter(_want, w -> _v <= w.hi),"
         " w -> struct(w.prob AS prob, if(_v < w.lo, NULL, _v) AS _v)))")
     cells = tagged.groupBy(*key, "prob", "_n", "_v").agg(F.count("*").alias("_c"))
