@@ -444,7 +444,7 @@ def weighted_rows(spark, sf):
     smp = O.stratified_sample(p, ["segment", "abc"], KEYS, 3000)
     w = PN.design_weights(p.select("segment", "abc"), smp.select("segment", "abc"), ["segment", "abc"]).select("segment", "abc", "weight")
     rows = P.scored(smp)
-    return rows.join(w, ["segment", "abc"])
+    return O.join_by(rows, w, ["segment", "abc"])
 
 
 @add("weighted_model_means", Q.query(WS.rstrip(","), """

@@ -608,7 +608,7 @@ def weighted_mean_kish(spark, sf):
     p = P.prepared_panel(spark, sf).select(*KEYS, "segment", "abc", "tier", "lead_days")
     s = O.stratified_sample(p, ["segment", "abc"], KEYS, 3000)
     w = PN.design_weights(p, s, ["segment", "abc"]).select("segment", "abc", "weight")
-    return s.join(w, ["segment", "abc"]).groupBy("tier").agg(
+    return O.join_by(s, w, ["segment", "abc"]).groupBy("tier").agg(
         r(weighted_mean("lead_days"), 6, "lead_weighted"), r(F.avg("lead_days"), 6, "lead_raw"), r(kish(), 4, "n_eff"))
 
 

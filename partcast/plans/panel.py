@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from partcast import config as C
 from partcast.operators.cleaning import first_positive, whitelist
-from partcast.operators.ordering import mode_of
+from partcast.operators.ordering import join_by, mode_of
 
 
 def latest_run(df: DataFrame, key: str = "stock_item", run: str = "run_id") -> DataFrame:
@@ -76,7 +76,7 @@ def design_weights(population: DataFrame, sample: DataFrame, strata: list[str])
     """Stratum sizes, sample sizes and weights N_h / n_h."""
     pop = population.groupBy(*strata).agg(F.count("*").alias("pop_n"))
     smp = sample.groupBy(*strata).agg(F.count("*").alias("sample_n"))
-    return pop.join(smp, strata).withColumn("weight", F.col("pop_n") / F.col("sample_n"))
+    return join_by(pop, smp, strata).withColumn("weight", F.col("pop_n") / F.col("sample_n"))
 
 
 def forecast_folds(demand: DataFrame, q: str = "q") -> DataFrame:
