@@ -131,3 +131,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_set, "e", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
+                percent: int = PERCENT) -> DataFrame:
+    """docs without near copies: of each component the rows with its smallest id, equal texts under one id once."""
+    found = near_duplicates(docs, id_col, text_col, k, percent)
+    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    named = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = f"c{docs.columns.index(id_col)}"
+    stays = named.join(gone, F.col(at).cast("long") == F.col("gone_id"), "left_anti")
+    return stays.toDF(*docs.columns)
