@@ -1,12 +1,15 @@
 """Groups of similar sets from postings, without forming all pairs of a group.
 
 Similarity is Jaccard over exact sets.  A posting says that set e, of n members,
-is listed under a key; two similar enough sets share a key.  Three ideas keep
-the work down when thousands of sets are alike:
-
-* star rounds: each list names a leader per size block and only leader-member
-  pairs are verified; members that pass inherit the leader's group, so a set's
-  answer is derived from that of a set like it;
+is listed under a key, one of the rarest members that make up its prefix; two
+similar enough sets share a key.  Three ideas keep the work down when thousands
+of sets are alike:
+
+* star rounds: each list names a leader per size block (first the one with the
+  fewest members of its own, which is most like the others; the blocks of the
+  next round straddle those of the last) and only leader-member pairs are
+  verified; members that pass inherit the leader's group, so a set's answer is
+  derived from that of a set like it;
 * lists whose members are in one group already are skipped whole;
 * what is left is joined in full, pairs from different groups only, under the
   length and positional filters.  Nothing is capped, so no group is missed.
@@ -47,17 +50,41 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(similar(common, F.size("x"), F.size("y"), percent)).select("a", "b"))
 
 
-def groups(postings: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch: Scratch,
-           percent: int = PERCENT, star_rounds: int = 2) -> DataFrame:
-    """postings (key, e, n, left) -> (e, label), for sets that are similar to another one.
+def prefix_length(n: str, percent: int) -> str:
+    """How many members a partner at the threshold can't all miss."""
+    return f"({n} - floor(({n} * {percent} + 99) / 100) + 1)"
+
+
+def postings(sets: DataFrame, percent: int) -> DataFrame:
+    """sets (e, members) -> (key, e, n, left, own): the rarest members that make up each set's prefix.
+
+    The own members, of one set only, come first and need no posting; left is how
+    many follow the key in the global order.
+    """
+    tokens = sets.select(F.explode("members").alias("key"), "e", F.size("members").alias("n"))
+    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = tokens.join(shared, "key").selectExpr(
+        "key", "e", "n", "row_number() over (partition by e order by df, key) as i", "count(1) over (partition by e) as s")
+    return (ranked.where(f"i <= {prefix_length('n', percent)} - (n - s)")
+            .selectExpr("key", "e", "n", "int(s - i) as left", "int(n - s) as own"))
+
+
+def in_shared_lists(listed: DataFrame) -> DataFrame:
+    """(key, e, ...): the rows whose key lists more than one set."""
+    shared = listed.groupBy("key").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo <> hi")
+    return listed.join(shared.select("key"), "key")
+
+
+def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch: Scratch,
+           percent: int = PERCENT, star_rounds: int = 3) -> DataFrame:
+    """candidates (e) -> (e, label), for sets that are similar to another one.
 
-    label is the smallest e of the group.  left, the members of e that come
-    after the key in the global order, may be null.  fetch gives (e, members)
-    for the sets of a one-column table e.
+    label is the smallest e of the group.  fetch gives (e, members) for the sets
+    of a one-column table e.  Frequencies are those among the candidates: any
+    global order is right, and this one leaves the shortest lists.
     """
-    shared = postings.groupBy("key").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo <> hi")
-    lists = scratch.keep(postings.join(shared.select("key"), "key"))
-    sets = scratch.keep(fetch(lists.select("e").distinct()))
+    sets = scratch.keep(fetch(scratch.keep(candidates)))
+    lists = scratch.keep(in_shared_lists(scratch.keep(postings(sets, percent))))
     edges, label = None, None
     for r in range(star_rounds + 1):
         now = lists.withColumn("label", F.col("e"))
@@ -67,10 +94,11 @@ def groups(postings: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch
             mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
             now = scratch.keep(now.join(mixed.select("key"), "key"))
         if r < star_rounds:
-            now = now.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))))
+            now = now.withColumn("block", F.floor(
+                F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(r % 2 / 2)))
             leader = (now.groupBy("key", "block")
-                      .agg(F.min(F.struct(F.xxhash64("e", F.lit(r)).alias("h"), "e", "n", "left", "label")).alias("s"))
-                      .select("key", "block", "s.*").drop("h"))
+                      .agg(F.min(F.struct(F.col("own") if r < 2 else F.lit(0), F.xxhash64("e", F.lit(r)), "e", "n", "left", "label")).alias("s"))
+                      .select("key", "block", "s.e", "s.n", "s.left", "s.label"))
             both = now.alias("m").join(leader.alias("l"), ["key", "block"])
         else:
             both = now.alias("m").join(now.alias("l"), "key").where("m.e < l.e")

@@ -11,7 +11,9 @@ Only a fixed share of the shingles, chosen by their hash, needs counting: a
 large set has enough of them to fill its prefix.  Sets small enough that they
 may not, are indexed in full in a band of their own; the bands overlap by the
 threshold, so every pair meets in one of them, and a set that still lacks
-shingles for its prefix goes on with uncounted ones.
+shingles for its prefix goes on with uncounted ones.  The sets that meet in this
+first join are few; they are joined again on all their shingles, where sets with
+many shingles of their own drop out.
 
 Defined results: null or blank texts have no shingles, link with nothing and
 are their own component; fewer than k words make one shingle; repeated rows and
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partcast.llm import words as W
-from partcast.llm.linking import PERCENT, groups
+from partcast.llm.linking import PERCENT, groups, in_shared_lists, prefix_length
 from partcast.llm.scratch import Scratch
 
 K = 5
@@ -92,19 +94,17 @@ def _members(batches, k: int):
                     names=["e", "members"])
 
 
-def prefix_postings(index: DataFrame, percent: int) -> DataFrame:
-    """(key, e, n, left): shared shingles within each set's prefix, rarest first."""
+def counted_prefix(index: DataFrame, percent: int) -> DataFrame:
+    """(key, e): shared shingles within each set's prefix, the rarest counted ones first."""
     tokens = index.where(F.size("toks") > 0).select(F.explode("toks").alias("key"), "e", "n", "band", "u")
     shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # what is left are shingles of near copies and of common passages
     some = tokens.join(shared, "key").dropDuplicates(["key", "e"])
-    prefix = F.expr(f"n - floor((n * {percent} + 99) / 100) + 1")
     ranked = some.selectExpr(
         "key", "e", "n", "band", "u",
         "row_number() over (partition by e, band order by df, key) as i",
         "count(1) over (partition by e, band) as s")
-    return ranked.where((F.col("band") == 2) | (F.col("i") <= prefix - (F.col("u") - F.col("s")))).select(
-        "key", "e", "n", F.when(F.col("band") < 2, F.expr("n - (u - s) - i")).cast("int").alias("left"))
+    return ranked.where(f"band = 2 or i <= {prefix_length('n', percent)} - (u - s)").select("key", "e")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
@@ -122,8 +122,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = some.mapInArrow(lambda it: _members(it, k), "e long, members array<long>")
         return sets.join(wanted, "e", "left_semi").dropDuplicates(["e"])
 
-    postings = scratch.keep(prefix_postings(index, percent))
-    label = groups(postings, fetch, scratch, percent)
+    meets = in_shared_lists(scratch.keep(counted_prefix(index, percent)))
+    label = groups(meets.select("e").distinct(), fetch, scratch, percent)
     classes = rows.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("least"))
     in_group = classes.join(label, "e", "left").withColumn("label", F.coalesce("label", "e"))
     smallest = in_group.groupBy("label").agg(F.min("least").alias("component_id"))

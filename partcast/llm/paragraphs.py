@@ -3,9 +3,9 @@
 A paragraph is a line of at least min_words words.  Equal shingle sets are one
 paragraph from the start.  Each set gets bands of MinHash values, tuned so that
 a pair at the threshold is missed less than once in twenty thousand times;
-paragraphs that share a band are verified by the exact Jaccard similarity of
-their shingle sets and clustered by components, without forming all pairs of a
-group (see `linking`).  Of a cluster the occurrence with the smallest document
+paragraphs that share a band with another one are verified by the exact Jaccard
+similarity of their shingle sets and clustered by components, without forming
+all pairs of a group (see `linking`).  Of a cluster the occurrence with the smallest document
 id and line stays.
 
 Defined results: null and empty texts have no paragraphs; shorter lines are
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partcast.llm import words as W
-from partcast.llm.linking import PERCENT, groups
+from partcast.llm.linking import PERCENT, groups, in_shared_lists
 from partcast.llm.scratch import Scratch
 
 K, MIN_WORDS = 5, 50
@@ -129,9 +129,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         sets = some.select("text").mapInArrow(lambda it: _members(it, k, min_words), "e long, members array<long>")
         return sets.join(wanted, "e", "left_semi").dropDuplicates(["e"])
 
-    postings = (index.where(F.size("keys") > 0)
-                .select(F.explode("keys").alias("key"), "e", "n", F.lit(None).cast("int").alias("left")))
-    label = groups(postings, fetch, scratch, percent)
+    banded = index.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "e")
+    label = groups(in_shared_lists(banded).select("e").distinct(), fetch, scratch, percent)
     # distinct sets first, each with its first place: a set that a third of all lines share is one row per task
     first = F.struct("doc_id", "line", "t")
     sets = places.groupBy("e").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
