@@ -5,9 +5,9 @@ is listed under a key, one of the rarest members that make up its prefix; two
 similar enough sets share a key.  Three ideas keep the work down when thousands
 of sets are alike:
 
-* star rounds: each list names a leader per size block (first the one with the
-  fewest members of its own, which is most like the others; the blocks of the
-  next round straddle those of the last) and only leader-member pairs are
+* star rounds: each list names a leader per size block (first the one whose
+  members are in the most sets, as those of an unchanged original are; the blocks
+  of the next round straddle those of the last) and only leader-member pairs are
   verified; members that pass inherit the leader's group, so a set's answer is
   derived from that of a set like it;
 * lists whose members are in one group already are skipped whole;
@@ -56,17 +56,18 @@ def prefix_length(n: str, percent: int) -> str:
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """sets (e, members) -> (key, e, n, left, own): the rarest members that make up each set's prefix.
+    """sets (e, members) -> (key, e, n, left, shared): the rarest members that make up each set's prefix.
 
-    The own members, of one set only, come first and need no posting; left is how
-    many follow the key in the global order.
+    Members of one set only come first and need no posting; left is how many
+    follow the key in the global order, shared in how many sets a member is on average.
     """
     tokens = sets.select(F.explode("members").alias("key"), "e", F.size("members").alias("n"))
     shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = tokens.join(shared, "key").selectExpr(
-        "key", "e", "n", "row_number() over (partition by e order by df, key) as i", "count(1) over (partition by e) as s")
+        "key", "e", "n", "row_number() over (partition by e order by df, key) as i", "count(1) over (partition by e) as s",
+        "sum(df) over (partition by e) as meets")
     return (ranked.where(f"i <= {prefix_length('n', percent)} - (n - s)")
-            .selectExpr("key", "e", "n", "int(s - i) as left", "int(n - s) as own"))
+            .selectExpr("key", "e", "n", "int(s - i) as left", "meets / n as shared"))
 
 
 def in_shared_lists(listed: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
             now = now.withColumn("block", F.floor(
                 F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(r % 2 / 2)))
             leader = (now.groupBy("key", "block")
-                      .agg(F.min(F.struct(F.col("own") if r < 2 else F.lit(0), F.xxhash64("e", F.lit(r)), "e", "n", "left", "label")).alias("s"))
+                      .agg(F.min(F.struct(-F.col("shared") if r < 2 else F.lit(0), F.xxhash64("e", F.lit(r)), "e", "n", "left", "label")).alias("s"))
                       .select("key", "block", "s.e", "s.n", "s.left", "s.label"))
             both = now.alias("m").join(leader.alias("l"), ["key", "block"])
         else:
