@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partcast.llm import decontaminate, mixing, ngram_join, paragraphs, toxicity
+from partcast.llm import chat, decontaminate, lattice, licenses, mixing, ngram_join, paragraphs, suffixes, toxicity, warc
 from partcast.llm.scratch import Scratch
 
 
@@ -45,7 +45,34 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(table(spark, sf_dir, "documents")).drop("t")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), Scratch(spark)))
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+#: A conversation full of the template's own marks.
+HARD = "\\### Assistant: </turn> ok"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionByName(hard)))
+
+
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).drop("t")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard, op5_mixing, op8_decontamination, op9_substring)
+    f.__name__: f for f in (op1_toxicity, op2_licenses, op3_ngram_jaccard, op4_warc, op5_mixing, op6_lattice, op7_chat,
+                            op8_decontamination, op9_substring, op10_suffixes)
 }
 SQL: dict[str, str] = {}
