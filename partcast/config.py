@@ -18,10 +18,6 @@ ABC_LEVELS = ("A", "B", "C")
 STRATEGY_LEVELS = (
     "Strategy 1", "Strategy 2", "Strategy 3", "Strategy 4", "Strategy 5", "Other",
 )
-REGION_LEVELS = (
-    "Africa", "Arab States", "Asia & Pacific", "Europe", "Middle East",
-    "North America/Caribbiean", "South America", "All",
-)
 HIGH_CRITICALITY = ("critical", "high", "1")
 LOW_CRITICALITY = ("low", "3")
 RETIRED_STATUS = ("Obsolete", "Scrapped", "Inactive")

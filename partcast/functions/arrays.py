@@ -102,25 +102,38 @@ def _plus(parts: list[str]) -> str:
 
 
 def rank_columns(prefix: str, values: list[str]) -> dict[str, str]:
-    """Fractional ranks prefix0.. of value columns, ties sharing positions."""
+    """Fractional ranks prefix0.. of the value columns that are not null, ties sharing positions."""
     return {
-        f"{prefix}{i}": "0.5D + " + " + ".join(f"if({z} < {x}, 1.0D, if({z} = {x}, 0.5D, 0.0D))" for z in values)
+        f"{prefix}{i}": f"if({x} IS NULL, NULL, 0.5D + "
+                        + " + ".join(f"if({z} < {x}, 1.0D, if({z} = {x}, 0.5D, 0.0D))" for z in values) + ")"
         for i, x in enumerate(values)
     }
 
 
+LEAST_MODELS = 3
+
+
+def present(values: list[str]) -> str:
+    """How many of the columns are not null."""
+    return "(" + " + ".join(f"int({v} IS NOT NULL)" for v in values) + ")"
+
+
 def spearman_text(rx: list[str], ry: list[str]) -> str:
-    """Rank correlation from rank columns; null when a side is constant."""
-    n = len(rx)
-    mean = (n + 1) / 2.0
-    dot = lambda a, b: _plus([f"({u} - {mean}D) * ({v} - {mean}D)" for u, v in zip(a, b)])
-    return f"try_divide({dot(rx, ry)}, sqrt({dot(rx, rx)} * {dot(ry, ry)}))"
+    """Rank correlation from rank columns, over the places where neither is null.
+
+    Both sides have to be null in the same places.  Null when a side is
+    constant or fewer than three places are left.
+    """
+    mean = f"(({present(rx)} + 1) / 2.0D)"
+    dot = lambda a, b: _plus([f"coalesce(({u} - {mean}) * ({v} - {mean}), 0.0D)" for u, v in zip(a, b)])
+    return f"if({present(rx)} < {LEAST_MODELS}, NULL, try_divide({dot(rx, ry)}, sqrt({dot(rx, rx)} * {dot(ry, ry)})))"
 
 
 def tau_text(xs: list[str], ys: list[str]) -> str:
-    """Tau-b from value columns; null when a side is constant."""
+    """Tau-b from value columns, over the places where neither is null; null as in `spearman_text`."""
     pairs = [(i, j) for i in range(len(xs)) for j in range(i + 1, len(xs))]
-    sx = [f"signum({xs[i]} - {xs[j]})" for i, j in pairs]
-    sy = [f"signum({ys[i]} - {ys[j]})" for i, j in pairs]
+    sx = [f"coalesce(signum({xs[i]} - {xs[j]}), 0.0D)" for i, j in pairs]
+    sy = [f"coalesce(signum({ys[i]} - {ys[j]}), 0.0D)" for i, j in pairs]
     both = _plus([f"{a} * {b}" for a, b in zip(sx, sy)])
-    return f"try_divide({both}, sqrt({_plus([f'abs({a})' for a in sx])} * {_plus([f'abs({b})' for b in sy])}))"
+    return (f"if({present(xs)} < {LEAST_MODELS}, NULL, try_divide({both}, sqrt({_plus([f'abs({a})' for a in sx])} * "
+            f"{_plus([f'abs({b})' for b in sy])})))")

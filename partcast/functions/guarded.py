@@ -48,16 +48,16 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(min(max(p, 1e-3), 1 - 1e-3))
 
 
-def t_two_sided_p(t: Column, df: Column, max_df: int = 40) -> Column:
-    """Two-sided p-value of Student's t for small integer degrees of freedom.
+def t_two_sided_p(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t for integer degrees of freedom.
 
-    Finite trigonometric series (Abramowitz & Stegun 26.7.3-4), exact for
-    integer ``df`` up to ``max_df``.
+    Finite trigonometric series (Abramowitz & Stegun 26.7.3-4), exact for any
+    integer ``df``; it has ``df / 2`` terms.
     """
     theta = F.atan(F.abs(t) / F.sqrt(df))
     c2 = F.pow(F.cos(theta), F.lit(2.0))
     half = F.floor((df - 1) / 2).cast("int")
-    steps = F.sequence(F.lit(1), F.lit(max_df))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), half + 1))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def series(first_num: int):

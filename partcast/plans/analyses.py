@@ -90,12 +90,15 @@ def per_series_stats(
 ) -> DataFrame:
     """Per series: tau-b and Spearman of each named metric pair over the models.
 
-    Values are snapped to a 1e-6 grid before they are compared.
+    Values are snapped to a 1e-6 grid before they are compared.  A model that is
+    missing, or lacks one of the metrics, is left out of its series; fewer than
+    three models give null.
     """
     metrics = sorted({m for p in pairs.values() for m in p})
+    whole = " AND ".join(f"{x} IS NOT NULL" for x in metrics)
     wide = rows.groupBy(*KEYS).agg(
         *[F.first(c).alias(c) for c in carry],
-        *[F.expr(f"max(if(model = '{m}', floor({x} * 1e6D + 0.50001D) / 1e6D, NULL)) AS v_{x}_{i}")
+        *[F.expr(f"max(if(model = '{m}' AND {whole}, floor({x} * 1e6D + 0.50001D) / 1e6D, NULL)) AS v_{x}_{i}")
           for x in metrics for i, m in enumerate(models)])
     ix = range(len(models))
     cols = {x: [f"v_{x}_{i}" for i in ix] for x in metrics}

@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from partcast.catalog import load
 from check import compare, fetch_duck
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+# corpus operators have tests of their own
+QUERIES = dict(load().queries)
+SQL = dict(load().sql)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -27,3 +29,7 @@ def test_entry_is_lazy_and_named(spark):
 def test_only_fitted_or_keyed_queries_lack_sql():
     assert set(QUERIES) - set(SQL) == {
         "fill_matched_policy", "learner_forecast", "learner_importance", "learner_quantiles", "pseudonymise_blake2b"}
+
+
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())

@@ -174,3 +174,29 @@ def test_count_quantiles(spark):
     assert big["b"] == pytest.approx(big["a"], abs=1)
     zero = spark.range(1).select(count_quantiles(F.lit(0.04), F.lit(9.0), F.lit(0.5)).alias("q")).first()["q"]
     assert zero[:4] == [0, 0, 0, 0] and zero[4] > 0
+
+
+def test_t_tail_for_many_degrees_of_freedom(spark):
+    import math
+
+    import numpy as np
+
+    from partcast.functions.guarded import t_two_sided_p
+    df = spark.createDataFrame([(2.0, 83), (2.0, 100), (2.0, 200), (2.0, 5000), (2.0, 1), (2.0, 2)], "t double, df int")
+    got = [round(r[0], 4) for r in df.select(t_two_sided_p(df["t"], df["df"])).collect()]
+    x = np.linspace(0, 2, 200_001)
+    for (_, n), p in zip([(r.t, r.df) for r in df.collect()], got):
+        density = np.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi) * (1 + x * x / n) ** (-(n + 1) / 2)
+        assert abs(1 - 2 * np.trapezoid(density, x) - p) < 1e-4
+
+
+def test_rank_statistics_leave_out_missing_models(spark):
+    from partcast.functions import arrays as A
+    xs, ys = [f"x{i}" for i in range(9)], [f"y{i}" for i in range(9)]
+    none = [None] * 5
+    rows = [tuple([1.0, 2.0, 3.0, 4.0, *none, 4.0, 3.0, 2.0, 1.0, *none]), tuple([1.0, 2.0, *none, None, None, 2.0, 1.0, *none, None, None])]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in xs + ys))
+    ranks = {**A.rank_columns("rx", xs), **A.rank_columns("ry", ys)}
+    df = df.selectExpr("*", *[f"{e} AS {c}" for c, e in ranks.items()])
+    got = df.selectExpr(A.spearman_text([f"rx{i}" for i in range(9)], [f"ry{i}" for i in range(9)]), A.tau_text(xs, ys)).collect()
+    assert [tuple(r) for r in got] == [(-1.0, -1.0), (None, None)]
