@@ -104,9 +104,9 @@ class Scanner:
                     if (lo, which) in tried or rest < need or hi - lo < need:
                         continue
                     tried.add((lo, which))
-                    share = len(template.intersection(h[lo:hi].tolist())) / len(template)
-                    if share * len(template) >= need:
-                        more[row][label] = max(share, more[row].get(label, 0.0))
+                    held = len(template.intersection(h[lo:hi].tolist()))
+                    if held >= need:
+                        more[row][label] = max(held / len(template), more[row].get(label, 0.0))
         out = []
         for row in range(n):
             places, plain = [p for p, _ in base[row]], {x for _, x in base[row]}

@@ -5,6 +5,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -137,3 +138,11 @@ def test_chat_parts_and_odd_rows(spark):
         assert (r.conv_id, role, text) in {(c, role or "", t or "") for c, _, role, t in odd}
     assert {(r.conv_id, r.n_turns, r.loss_chars) for r in chat.read_back(chat.format_conversations(df)).collect()} == {(1, 3, 0), (None, 2, 20)}
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(q.SQL))
+def test_query_matches_its_sql(spark, sf, duck, name):
+    got, want = q.QUERIES[name](spark, sf), duck.execute(q.SQL[name])
+    at = [d[0] for d in want.description]
+    assert sorted(at) == sorted(got.columns)
+    assert Counter(map(tuple, got.select(at).collect())) == Counter(want.fetchall())
