@@ -86,7 +86,7 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
     """
     sets = scratch.keep(fetch(scratch.keep(candidates)))
     lists = scratch.keep(in_shared_lists(scratch.keep(postings(sets, percent))))
-    edges, label = None, None
+    label = None
     for r in range(star_rounds + 1):
         now = lists.withColumn("label", F.col("e"))
         if label is not None:
@@ -106,8 +106,9 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
         pairs = (both.where(F.col("m.label") != F.col("l.label")).where(_fits("m", "l", percent))
                  .select(F.col("l.e").alias("a"), F.col("m.e").alias("b")).distinct())
         found = scratch.keep(verify(pairs, sets, percent))
-        edges = found if edges is None else edges.unionByName(found)
         if r and found.isEmpty():
             continue
+        # the last round's groups are stars already: they and the new pairs reach what all pairs so far do
+        edges = found if label is None else label.toDF("a", "b").unionByName(found)
         label = components(edges, scratch)
     return label.select(F.col("node").alias("e"), "label")
