@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from partcast.llm import decontaminate, licenses, mixing, ngram_join, paragraphs, suffixes, toxicity
 from partcast.llm import queries as q
+from partcast.llm.components import components
+from partcast.llm.scratch import Scratch
 from tests.llm.conftest import PASSAGE, ROWS
 
 SPACED, MARKED = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -286,3 +288,22 @@ def test_pipeline_is_its_stages(spark, sf):
     ids = {r.doc_id for r in kept.collect()}
     assert not ids & toxic and len(ids) > 0.6 * texts.count() and len(ids & leaks) <= len(leaks) // 2
     assert kept.agg(F.sum("taken")).first()[0] > 0
+
+
+@pytest.mark.parametrize("edges", [
+    [], [(3, 3)], [(7, i) for i in range(8, 40)], [(i, i + 1) for i in range(60)],
+    [(i * 37 % 101, i * 53 % 89) for i in range(90)], [(1, 2), (2, 1), (1, 2), (5, 4), (4, -3)]])
+def test_components_match_union_find(spark, edges):
+    root: dict[int, int] = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: top(x) for a, b in edges if a != b for x in (a, b)}
+    rows = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
+    assert len(rows) == len(want) and {r["node"]: r["label"] for r in rows} == want
