@@ -282,7 +282,7 @@ def _arm_sql() -> str:
     for i, win in enumerate(dict.fromkeys((a[1], a[2], a[3]) for a in C.ARMS)):
         w, tag = C.Window(*win), f"_w{i}"
         arms = [a for a in C.ARMS if (a[1], a[2], a[3]) == win]
-        cols = ", ".join(f"{e} AS {n}" for n, e in mix_columns("item_id * 1000003 + site_id", "0", 42).items())
+        cols = ", ".join(f"{e} AS {n}" for n, e in mix_columns("item_id * 2147483647 + site_id", "0", 42).items())
         opening = "CASE init WHEN 'S' THEN up_to WHEN 's' THEN rp WHEN 'zero' THEN 0 ELSE rp + (_h4 / 2147483647.0::DOUBLE) * greatest(up_to - rp, 0) END"
         names = ", ".join(f"'{a[0]}'" for a in arms)
         inits = ", ".join(f"'{a[4]}'" for a in arms)

@@ -326,7 +326,7 @@ def distributional_channel(spark, sf):
     return N.rho_summary(long, "v", ["pair"]).select("pair", "n", r("mean"), r("median"), r("share_abs99"))
 
 
-BREP = 40
+BREP = 200
 
 
 @add("pinball_common_set", Q.query(DIST + "," + Q.series_rho("dd", {k: DIST_PAIRS[k] for k in ("mae_cost", "pin_cost", "crps_cost")}, carry="test_demand") + """,

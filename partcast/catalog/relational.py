@@ -91,6 +91,13 @@ def scan_parquet_columns(spark, sf):
     return li(spark, sf).where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+@add("calendar_audit", """SELECT CASE WHEN l_shipdate IS NULL THEN 'undated' WHEN year(l_shipdate) < 1995 THEN 'before'
+WHEN year(l_shipdate) > 2001 THEN 'after' ELSE 'inside' END AS period, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
+FROM lineitem GROUP BY ALL""")
+def calendar_audit(spark, sf):
+    return X.calendar_audit(spark, sf)
+
+
 @add("model_union", Q.query(Q.panel() + "," + Q.forecasts(16, False, ("SBA", "MA")) + """,
 u AS (SELECT item_id, site_id, 'SBA' AS model, f_SBA AS level, NULL::DOUBLE AS q50 FROM fc
       UNION ALL SELECT item_id, site_id, 'MA', f_MA, NULL FROM fc

@@ -339,7 +339,7 @@ def rho_summary(src: str, col: str, by: str = "", where: str = "true") -> str:
             f"FROM (SELECT *, rd9({col}) AS v FROM {src} WHERE {col} IS NOT NULL AND {where}){grp}")
 
 
-def weights(src: str, replicates: int, seed: int = 42, out: str = "bw", key: str = "item_id * 1000003 + site_id") -> str:
+def weights(src: str, replicates: int, seed: int = 42, out: str = "bw", key: str = "item_id * 2147483647 + site_id") -> str:
     """Every row of src once per replicate b with its Poisson weight w."""
     cols = ", ".join(f"{e} AS {n}" for n, e in mix_columns("_k", "b", seed).items())
     return (f"{out} AS (SELECT *, {poisson_sql('_h4')} AS w FROM (SELECT *, {cols} FROM ("

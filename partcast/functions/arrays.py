@@ -27,10 +27,6 @@ def average_ranks(a: Column) -> Column:
     ))
 
 
-def min_ranks(a: Column) -> Column:
-    return F.transform(a, lambda x: _size(F.filter(a, lambda z: z < x)) + 1.0)
-
-
 def pearson(x: Column, y: Column) -> Column:
     """Correlation of two equally long arrays; null when a side is constant."""
     n = _size(x)

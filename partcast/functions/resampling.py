@@ -21,7 +21,7 @@ MODULUS = 2147483647
 
 def _thresholds() -> list[int]:
     out, cum, term = [], 0.0, math.exp(-1.0)
-    for k in range(9):
+    for k in range(13):  # what lies beyond is rarer than one in MODULUS
         cum += term
         out.append(int(cum * MODULUS))
         term /= k + 1
@@ -31,14 +31,16 @@ def _thresholds() -> list[int]:
 THRESHOLDS = _thresholds()
 
 
-
-
 def mix_columns(key: str, b: str, seed: int) -> dict[str, str]:
-    """Step-by-step columns; each refers to the one before."""
+    """Step-by-step columns; each refers to the one before.
+
+    The key, not negative and below 2^62, enters as quotient and remainder, so
+    different keys stay different.
+    """
     add = seed % 100003 * 7 + 12345
     return {
         "_h0": f"({key}) % {MODULUS}",
-        "_h1": f"(_h0 * 48271 + {b} * 40692 + {add}) % {MODULUS}",
+        "_h1": f"(_h0 * 48271 + CAST(floor((({key}) - _h0) / {MODULUS} + 0.5) AS BIGINT) * 69621 + {b} * 40692 + {add}) % {MODULUS}",
         "_h2": f"(_h1 * _h1 % {MODULUS} + _h0 * 16807 + {b} * 39373) % {MODULUS}",
         "_h3": f"(_h2 * _h2 % {MODULUS} + _h1 * 48271 + 7) % {MODULUS}",
         "_h4": f"(_h3 * _h3 % {MODULUS} + _h2 * 16807 + 13) % {MODULUS}",
@@ -50,7 +52,7 @@ def mix_numpy(keys: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     add = seed % 100003 * 7 + 12345
     h0 = (keys.astype(np.int64) % MODULUS)[:, None]
     b = b.astype(np.int64)[None, :]
-    h1 = (h0 * 48271 + b * 40692 + add) % MODULUS
+    h1 = (h0 * 48271 + (keys.astype(np.int64) // MODULUS)[:, None] * 69621 + b * 40692 + add) % MODULUS
     h2 = (h1 * h1 % MODULUS + h0 * 16807 + b * 39373) % MODULUS
     h3 = (h2 * h2 % MODULUS + h1 * 48271 + 7) % MODULUS
     return (h3 * h3 % MODULUS + h2 * 16807 + 13) % MODULUS

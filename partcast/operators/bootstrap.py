@@ -12,7 +12,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from partcast.functions.resampling import mix_columns, mix_numpy, poisson_numpy, poisson_sql
 from partcast.functions.smoothing import extend, keep_if
 
-UNIT = "item_id * 1000003 + site_id"
+#: One number per series; unique for site_id below 2^31 - 1.
+UNIT = "item_id * 2147483647 + site_id"
 CHUNK = 128
 
 

@@ -78,16 +78,21 @@ def velocity(log: DataFrame, master: DataFrame, as_of: str, years: int = 5, quar
     ).drop("_top")
 
 
+def _with_legacy(classes: DataFrame, master: DataFrame) -> DataFrame:
+    """classes with the most frequent legacy class of each pair; repeated master rows don't repeat a pair."""
+    return classes.join(mode_of(master, PAIR, ["legacy_velocity"]), PAIR, "left")
+
+
 def coverage(classes: DataFrame, master: DataFrame) -> DataFrame:
     """Confusion matrix of computed against legacy classes (missing shown)."""
-    both = classes.join(master.select(*PAIR, "legacy_velocity"), PAIR, "left")
+    both = _with_legacy(classes, master)
     return both.groupBy(F.coalesce("legacy_velocity", F.lit("(none)")).alias("legacy")).pivot(
         "velocity", ["A", "B", "C", "D"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def agreement(classes: DataFrame, master: DataFrame) -> DataFrame:
     """Rows, rows with a legacy class, agreement share, coverage gained."""
-    both = classes.join(master.select(*PAIR, "legacy_velocity"), PAIR, "left")
+    both = _with_legacy(classes, master)
     return both.agg(
         F.count("*").alias("n"), F.count("legacy_velocity").alias("n_legacy"),
         F.expr("avg(if(legacy_velocity IS NULL, NULL, if(legacy_velocity = velocity, 1.0D, 0.0D)))").alias("agree"),

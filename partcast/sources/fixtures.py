@@ -37,11 +37,11 @@ def demand_series(spark: SparkSession, sf_dir: str, grain: str = "sku") -> DataF
 
     One shuffle.  The quarters are fixed conditional sums, so a key with a
     third of all rows is already reduced to one row per map task before it is
-    exchanged, and nothing is collected into lists.
+    exchanged, and nothing is collected into lists.  Rows outside the 28 quarters
+    count neither as demand nor towards the price; `calendar_audit` reports them.
     """
-    li = table(spark, sf_dir, "lineitem")
     q = quarter_index(F.col("l_shipdate"))
-    li = li.select(
+    li = table(spark, sf_dir, "lineitem").where(q.between(1, QUARTERS)).select(
         F.col("l_partkey").alias("item_id"), site_of(grain).alias("site_id"),
         q.alias("q"), "l_quantity", "l_extendedprice",
     )
@@ -55,6 +55,14 @@ def demand_series(spark: SparkSession, sf_dir: str, grain: str = "sku") -> DataF
         *KEYS, f"array({quarters}) AS y", "floor(rev / qty * 100.0D + 0.50001D) / 100.0D AS price0")
 
 
+def calendar_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and quantity before, inside and after the panel's quarters, and without a date."""
+    q = quarter_index(F.col("l_shipdate"))
+    period = (F.when(q.isNull(), "undated").when(q < 1, "before").when(q > QUARTERS, "after").otherwise("inside"))
+    return table(spark, sf_dir, "lineitem").groupBy(period.alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+
+
 def _mod(expr: Column, n: int) -> Column:
     return F.pmod(expr, F.lit(n))
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from partcast.functions import arrays as A
 from partcast.functions.guarded import guarded_corr, t_two_sided_p
-from partcast.functions.resampling import mix_numpy, poisson_numpy
+from partcast.functions.resampling import MODULUS, mix_numpy, poisson_numpy
+from partcast.plans.velocity import agreement, coverage
+from partcast.sources.fixtures import calendar_audit, demand_series
 from partcast.operators import bootstrap as B, ordering as O
 from partcast.operators.quantiles import exact_quantiles
 from partcast.plans.distribution import count_quantiles
@@ -129,6 +131,31 @@ def test_weights_are_poisson_and_independent():
     assert not (poisson_numpy(mix_numpy(keys, np.arange(5), 1)) == w[:, :5]).all()
 
 
+def test_distant_units_have_their_own_weights():
+    keys = np.array([5, 5 + MODULUS, 5 + 2 * MODULUS, 5 + 10 ** 9 * MODULUS, 6], dtype=np.int64)
+    w = poisson_numpy(mix_numpy(keys, np.arange(200), 42))
+    assert len({tuple(x) for x in w}) == len(keys)
+    assert abs(np.corrcoef(w) - np.eye(len(keys))).max() < 0.3
+
+
+def test_legacy_class_of_repeated_master_rows(spark):
+    classes = spark.createDataFrame([(1, 1, "A"), (2, 1, "C")], "part_id int, ship_id int, velocity string")
+    master = spark.createDataFrame(
+        [(1, 1, "A"), (1, 1, "A"), (1, 1, "B"), (1, 1, None), (2, 1, None)], "part_id int, ship_id int, legacy_velocity string")
+    assert [tuple(r) for r in agreement(classes, master).collect()] == [(2, 1, 1.0, 1)]
+    assert sorted(tuple(r) for r in coverage(classes, master).collect()) == [("(none)", 0, 0, 1, 0), ("A", 1, 0, 0, 0)]
+
+
+def test_rows_outside_the_calendar(spark, tmp_path):
+    rows = [(1, 1, 10.0, 100.0, "1995-01-01"), (1, 1, 7.0, 700.0, "1994-12-31"), (1, 1, 9.0, 900.0, "2002-01-01"), (2, 1, 5.0, 50.0, None)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, d string").selectExpr(
+        "*", "CAST(d AS DATE) AS l_shipdate").drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = demand_series(spark, str(tmp_path)).selectExpr("item_id", "y[0]", "aggregate(y, 0D, (a, b) -> a + b)", "price0").collect()
+    assert [tuple(r) for r in got] == [(1, 10.0, 10.0, 10.0)]
+    assert {tuple(r) for r in calendar_audit(spark, str(tmp_path)).collect()} == {
+        ("inside", 1, 10), ("before", 1, 7), ("after", 1, 9), ("undated", 1, 5)}
+
+
 def test_bootstrap_engines_agree_and_ignore_layout(spark):
     pdf = pd.DataFrame({"item_id": np.arange(700), "site_id": np.arange(700) % 13, "g": np.arange(700) % 2, "x": np.arange(700) * 0.5})
     df = spark.createDataFrame(pdf)
