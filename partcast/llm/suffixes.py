@@ -1,31 +1,31 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages: every window of `words` words that two places share, found by minimisers.
 
-Of all suffixes of all texts (as word sequences) only those that begin at a
-minimiser are kept: places whose k-gram hash is the smallest in some window of
-`words - k + 1` grams, so a passage of `words` words holds one at the same place
-wherever it occurs.  Suffixes are sorted by their next words (those whose first
-k-gram occurs once drop out before), neighbours are compared, and each match is
-extended to the left; neighbours that share at least `words` words in all form a
-run.  Within a run the occurrence with the smallest document id and place stays,
-the others are removed.  Matched stretches of one text are merged.
+Each window of `words` words holds a minimiser, the smallest k-gram hash among
+its `words - k + 1` grams, and holds the same one wherever it occurs.  Windows
+whose minimiser gram occurs once drop out before anything is compared; the others
+meet by a 64-bit hash of all their words, so no repeated window is missed,
+whatever stands to its left or right.
 
-Contexts of `words` words on either side settle whether a match is long enough;
-longer passages hold several minimisers, whose stretches join up.
+Of each window's occurrences the one with the smallest document id, place and
+text hash is its first, and the words of first occurrences stay where they are.
+Removed are the words of the others, unless a first occurrence of another window
+covers them too: so each repeated window keeps one whole copy, also where
+passages overlap, within one text or across several.
 
-The sort is a range partitioning on (first gram, next words, place), so a
-passage that a third of all texts hold spreads over tasks.  Runs that go on over
-a task's end are joined from one row per task, its first and last suffix.
+A text sends each distinct window once, with its places, so a text of one
+repeated word pair is two rows; a window that a third of all texts hold is one
+row per task before the exchange, and the join back may be split.
 
 Defined results: null, empty and shorter texts have no passages; rows that
 repeat id and text count as one; a null id sorts first.  Other columns are not
-looked at.
+looked at, and pass through `without_repeats`, which takes the removed words out
+of the text and leaves all separators.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,147 +55,112 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 def _places(batches, words: int, k: int):
+    """(doc_id, t, gram) of each text's distinct minimisers, n: how often each occurs in it."""
     for batch in batches:
         for part in W.slices(batch, "text"):
             w = W.split(part.column("text"), W.SPACES)
             h = W.hashes(w)
-            rows, at, keys = [], [], []
+            rows, keys, often = [], [], []
             for r in np.flatnonzero(w.count >= words):
                 g = W.grams(h[w.first[r]: w.first[r + 1]], k)
-                m = minimisers(g, words - k + 1)
-                rows.append(np.full(len(m), r)), at.append(m), keys.append(g[m])
+                one, n = np.unique(g[minimisers(g, words - k + 1)], return_counts=True)
+                rows.append(np.full(len(one), r)), keys.append(one), often.append(n)
             if rows:
                 r = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(r), part.column("t").take(r),
-                    pa.array(np.concatenate(at).astype(np.int32)), pa.array(W.signed(np.concatenate(keys)))],
-                    names=["doc_id", "t", "place", "gram"])
+                    pa.array(W.signed(np.concatenate(keys))), pa.array(np.concatenate(often).astype(np.int32))],
+                    names=["doc_id", "t", "gram", "n"])
 
 
-def _suffixes(batches, words: int, k: int):
-    """(doc_id, t, place, gram, next, before): the words from each place on, and those before it, backwards."""
+def _windows(batches, words: int, k: int):
+    """(doc_id, t, w, places): each distinct window whose minimiser is one of grams, and where it begins."""
     for batch in batches:
         for part in W.slices(batch, "text"):
             w = W.split(part.column("text"), W.SPACES)
             h = W.hashes(w)
-            short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            rows, at, keys, after, ahead = [], [], [], [], []
-            for r, places in enumerate(part.column("places").to_pylist()):
-                own = short[w.first[r]: w.first[r + 1]]
-                g = W.grams(h[w.first[r]: w.first[r + 1]], k)
-                for p in sorted(places):
-                    rows.append(r), at.append(p), keys.append(g[p])
-                    after.append(own[p: p + words]), ahead.append(own[max(0, p - words): p][::-1])
+            rows, keys, begin, at = [], [], [np.zeros(1, np.int64)], []
+            total = 0
+            for r, grams in enumerate(part.column("grams").to_pylist()):
+                own = h[w.first[r]: w.first[r + 1]]
+                least = _sliding(W.grams(own, k), words - k + 1, np.minimum)
+                a = np.flatnonzero(np.isin(least, np.array(grams, np.int64).view(np.uint64)))
+                v = W.windows(own, words)[a]
+                order = np.argsort(v, kind="stable")
+                one, start = np.unique(v[order], return_index=True)
+                rows.append(np.full(len(one), r)), keys.append(one), at.append(a[order])
+                begin.append(total + np.append(start[1:], len(a)) if len(a) else start)
+                total += len(a)
             if rows:
-                r = pa.array(rows)
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()),
-                                                  pa.array(np.concatenate(x))) for x in (after, ahead)]
+                r = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").take(r), part.column("t").take(r), pa.array(at, pa.int32()),
-                    pa.array(W.signed(np.array(keys, np.uint64))), *lists],
-                    names=["doc_id", "t", "place", "gram", "next", "before"])
-
+                    part.column("doc_id").take(r), part.column("t").take(r), pa.array(W.signed(np.concatenate(keys))),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(begin).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)))],
+                    names=["doc_id", "t", "w", "places"])
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    off = np.flatnonzero(a[:n] != b[:n])
-    return int(off[0]) if len(off) else n
 
+def _covered(starts: np.ndarray, words: int, n: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + words, -1)
+    return np.cumsum(edge[:-1]) > 0
 
-def _shared(x: tuple, y: tuple, words: int) -> tuple[int, int] | None:
-    """Words that two suffixes (.., gram, next, before) share to the right and to the left, if enough."""
-    if x[3] != y[3]:
-        return None
-    right, left = _common(x[4], y[4]), _common(x[5], y[5])
-    return (right, left) if right + left >= words else None
 
+def _spans(covered: np.ndarray) -> list[dict]:
+    edge = np.diff(covered.astype(np.int8), prepend=0, append=0)
+    return [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
 
-_FOUND = ("part int, run long, doc_id long, t long, place int, right int, left int, "
-          "edge boolean, gram long, next array<int>, before array<int>")
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(),
-          pa.list_(pa.int32()), pa.list_(pa.int32())]
-_COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
 
+_SPAN = "array<struct<start:int,end:int>>"
+_FOUND = f"doc_id long, t long, repeated_words long, removed_words long, repeated {_SPAN}, removed {_SPAN}"
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=_COLUMNS)
 
+def _by_text(batches, words: int):
+    """Repeated windows (doc_id, t, places, kept) in order of text -> a row per text; kept: the first place stays."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = [pa.int64()] * 4 + [kind] * 2
+    last, held, out = None, [], []
 
-def _runs(batches, words: int):
-    """Sorted suffixes -> those in runs, and as edge rows the first and last suffix of the task."""
-    part = TaskContext.get().partitionId()
-    run = part << 32
-    last, held, out, any_row = None, (0, 0), [], False
+    def ended() -> tuple:
+        firsts, others = (np.concatenate(x) for x in zip(*held))
+        n = int(max(firsts.max(initial=0), others.max(initial=0))) + words
+        stays, again = _covered(firsts, words, n), _covered(others, words, n)
+        every, gone = stays | again, again & ~stays
+        return (*last, int(every.sum()), int(gone.sum()), _spans(every), _spans(gone))
 
-    def ended(row: tuple, lens: tuple[int, int], number: int, edge: bool) -> tuple:
-        return (part, number, row[0], row[1], row[2], *lens, edge, *((row[3], row[4].tolist(), row[5].tolist()) if edge else (None,) * 3))
+    def table() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
+                                          names=["doc_id", "t", "repeated_words", "removed_words", "repeated", "removed"])
 
     for batch in batches:
-        get = [batch.column(c).to_pylist() for c in ("doc_id", "t", "place", "gram")]
-        arrays = []
-        for c in ("next", "before"):
-            col = batch.column(c)
-            at = col.offsets.to_numpy()
-            flat = col.values.to_numpy(zero_copy_only=False)
-            arrays.append([flat[a:b] for a, b in zip(at[:-1], at[1:])])
-        for row in zip(*get, *arrays):
-            if last is None:
-                out.append(ended(row, (0, 0), run, True))
-            else:
-                met = _shared(last, row, words)
-                lens = met or (0, 0)
-                if any(held) or met:
-                    out.append(ended(last, (max(held[0], lens[0]), max(held[1], lens[1])), run, False))
-                run += met is None
-                held = lens
-            last = row
-        if len(out) > 10_000:
-            yield _table(out)
+        if not batch.num_rows:
+            continue
+        null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        doc = batch.column("doc_id").fill_null(0).to_numpy()
+        t = batch.column("t").to_numpy()
+        kept = batch.column("kept").to_numpy(zero_copy_only=False)
+        places = batch.column("places")
+        at = places.offsets.to_numpy()
+        flat = places.values.to_numpy()
+        new = np.ones(len(t), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (null[1:] != null[:-1]) | (t[1:] != t[:-1])
+        cut = np.append(np.flatnonzero(new), len(t))
+        for a, b in zip(cut[:-1], cut[1:]):
+            key = (None if null[a] else int(doc[a]), int(t[a]))
+            if key != last:
+                if held:
+                    out.append(ended())
+                last, held = key, []
+            first = np.zeros(int(at[b] - at[a]), bool)
+            first[at[a:b][kept[a:b]] - at[a]] = True
+            x = flat[at[a]: at[b]].astype(np.int64)
+            held.append((x[first], x[~first]))
+        if len(out) > 2_000:
+            yield table()
             out = []
-    if last is not None:
-        if any(held):
-            out.append(ended(last, held, run, False))
-        out.append(ended(last, (0, 0), run, True))
-    yield _table(out)
-
-
-def _stitch(batches, words: int):
-    """Edge rows in order of task -> (run, root, and the two suffixes that meet) for runs that go on in the next task."""
-    last, roots, out = None, {}, []
-    for batch in batches:
-        for x in batch.to_pylist():
-            row = (x["doc_id"], x["t"], x["place"], x["gram"], np.array(x["next"], np.int32), np.array(x["before"], np.int32))
-            if last is not None and last[0] != x["part"] and (met := _shared(last[2], row, words)):
-                root = roots.get(last[1], last[1])
-                roots = {x["run"]: root}
-                out += [(last[1], root, *last[2][:3], *met), (x["run"], root, *row[:3], *met)]
-            last = x["part"], x["run"], row
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
-                                     names=["run", "root", "doc_id", "t", "place", "right", "left"])
-
-
-def _merged(pairs: list[tuple[int, int]]) -> list[dict]:
-    out: list[dict] = []
-    for a, b in sorted(pairs):
-        if out and a <= out[-1]["end"]:
-            out[-1]["end"] = max(b, out[-1]["end"])
-        else:
-            out.append({"start": a, "end": b})
-    return out
-
-
-def _by_text(batches):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        every, gone = [], []
-        for spans in batch.column("spans").to_pylist():
-            every.append(_merged([(s["start"], s["end"]) for s in spans]))
-            gone.append(_merged([(s["start"], s["end"]) for s in spans if not s["kept"]]))
-        total = lambda x: pa.array([sum(s["end"] - s["start"] for s in one) for one in x], pa.int64())
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("t"), total(every), total(gone), pa.array(every, kind), pa.array(gone, kind)],
-            names=["doc_id", "t", "repeated_words", "removed_words", "repeated", "removed"])
+    if held:
+        out.append(ended())
+    yield table()
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
@@ -205,30 +170,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    places = scratch.keep(texts.mapInArrow(lambda it: _places(it, words, k), "doc_id long, t long, place int, gram long"))
-    shared = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    wanted = scratch.keep(places.join(shared, "gram").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
-                          .toDF("d", "u", "places"))
+    places = scratch.keep(texts.mapInArrow(lambda it: _places(it, words, k), "doc_id long, t long, gram long, n int"))
+    shared = places.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    wanted = scratch.keep(places.join(shared, "gram").groupBy("doc_id", "t").agg(F.collect_set("gram").alias("grams"))
+                          .toDF("d", "u", "grams"))
+    scratch.drop(places)
     with_text = (texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")))
-                 .dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "places"))
-    suffixes = scratch.keep(with_text.mapInArrow(
-        lambda it: _suffixes(it, words, k), "doc_id long, t long, place int, gram long, next array<int>, before array<int>"))
-    order = ["gram", "next", "doc_id", "place", "t"]
-    found = scratch.keep(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-                         .mapInArrow(lambda it: _runs(it, words), _FOUND))
-    edges = found.where("edge").select("part", "run", "doc_id", "t", "place", "gram", "next", "before")
-    # one first and one last row per task
-    stitched = scratch.keep(edges.coalesce(1).sortWithinPartitions("part", "run").mapInArrow(
-        lambda it: _stitch(it, words), "run long, root long, doc_id long, t long, place int, right int, left int"))
-    roots = stitched.select("run", "root").distinct()
-    rows = (found.where("not edge").select("run", "doc_id", "t", "place", "right", "left")
-            .unionByName(stitched.drop("root")).join(roots, "run", "left").withColumn("root", F.coalesce("root", "run")))
-    rows = scratch.keep(rows)
-    first = F.struct("doc_id", "place", "t")
-    kept = rows.groupBy("root").agg(F.min(first).alias("first"))
-    spans = (rows.join(kept, "root")
-             .select("doc_id", "t", F.struct((F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"),
-                                             first.eqNullSafe(F.col("first")).alias("kept")).alias("s"))
-             .groupBy("doc_id", "t").agg(F.collect_set("s").alias("spans")))
-    span = "array<struct<start:int,end:int>>"
-    return spans.mapInArrow(_by_text, f"doc_id long, t long, repeated_words long, removed_words long, repeated {span}, removed {span}")
+                 .dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "grams"))
+    windows = scratch.keep(with_text.mapInArrow(
+        lambda it: _windows(it, words, k), "doc_id long, t long, w long, places array<int>"))
+    scratch.drop(wanted)
+    place = F.struct("doc_id", F.col("places")[0].alias("place"), "t")
+    met = windows.groupBy("w").agg(F.min(place).alias("first"), F.sum(F.size("places")).alias("n")).where("n > 1")
+    again = scratch.keep(windows.join(met.select("w", "first"), "w")
+                         .select("doc_id", "t", "places", place.eqNullSafe(F.col("first")).alias("kept")))
+    scratch.drop(windows)
+    found = scratch.keep(again.repartition("doc_id", "t").sortWithinPartitions("doc_id", "t")
+                         .mapInArrow(lambda it: _by_text(it, words), _FOUND))
+    scratch.drop(again)
+    return found

@@ -157,6 +157,16 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of each run of k word hashes, from running sums: for long runs."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    up, down = _tables(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[k:] - total[:-k]) * down[: len(h) - k + 1] + _U(k))
+
+
 def set_hash(members: np.ndarray) -> int:
     """Order-free 64-bit hash of a set of hashes, signed."""
     if not len(members):

@@ -307,3 +307,31 @@ def test_components_match_union_find(spark, edges):
     want = {x: top(x) for a, b in edges if a != b for x in (a, b)}
     rows = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
     assert len(rows) == len(want) and {r["node"]: r["label"] for r in rows} == want
+
+
+def places_of(texts, n=50):
+    """{window: [(id, place)]} of all windows of n words."""
+    at = defaultdict(list)
+    for i, w in sorted(texts.items()):
+        for a in range(len(w) - n + 1):
+            at[tuple(w[a: a + n])].append((i, a))
+    return at
+
+
+def untouched(texts, removed, n=50):
+    """Whether each repeated window has a place that no removed word touches."""
+    return all(len(p) < 2 or any(not removed[i] & set(range(a, a + n)) for i, a in p) for p in places_of(texts, n).values())
+
+
+def test_suffix_repeats_leave_a_copy_of_each_window(spark):
+    def run(name, n):
+        return [f"{name}{i}" for i in range(n)]
+    p, r = run("p", 60), run("r", 60)
+    # 1 and 2 share p, 2 and 3 share r: 1 holds no r; 4 repeats itself; 5 and 6 share p's end with new words behind
+    texts = {1: p, 2: p + r, 3: run("x", 5) + r, 4: ["a", "b"] * 400, 5: p[5:] + r[:55] + run("y", 9), 6: run("z", 3) + p[5:] + r[:55]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    removed = defaultdict(set)
+    for row in suffixes.repeats(docs).collect():
+        removed[row.doc_id] = {x for s in row.removed for x in range(s.start, s.end)}
+    assert untouched(texts, removed)
+    assert removed[3] == set(range(5, 65)) and not removed[1] and len(removed[4]) == 800 - 51
