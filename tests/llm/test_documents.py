@@ -335,3 +335,12 @@ def test_suffix_repeats_leave_a_copy_of_each_window(spark):
         removed[row.doc_id] = {x for s in row.removed for x in range(s.start, s.end)}
     assert untouched(texts, removed)
     assert removed[3] == set(range(5, 65)) and not removed[1] and len(removed[4]) == 800 - 51
+
+
+def test_suffix_repeats_meet_past_other_left_contexts(spark):
+    """Copies of a passage are found though many texts share only its end."""
+    p = [f"p{i}" for i in range(50)]
+    texts = {1: p + ["end1"], 99: p + ["end99"]} | {i: [f"x{i}"] * 60 + p[1:] + [f"end{i}"] for i in range(2, 42)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {x for s in r.repeated for x in range(s.start, s.end)} for r in suffixes.repeats(docs).collect()}
+    assert {1, 99} <= got.keys() and got[1] == got[99] == set(range(50))
