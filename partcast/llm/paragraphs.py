@@ -8,6 +8,9 @@ similarity of their shingle sets and clustered by components, without forming
 all pairs of a group (see `linking`).  Of a cluster the occurrence with the smallest document
 id and line stays.
 
+Passages that stand inside longer lines, or run over several, are not looked at
+here: `suffixes` finds those, and the pipeline runs it on what this leaves.
+
 Defined results: null and empty texts have no paragraphs; shorter lines are
 never touched; rows that repeat both id and text count as one occurrence, and
 all of them are treated alike; a null id sorts first.  Other columns pass

@@ -189,3 +189,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                          .mapInArrow(lambda it: _by_text(it, words), _FOUND))
     scratch.drop(again)
     return found
+
+
+def _without(batches, text: str):
+    """The batches with the words of gone_spans, their last column, cut out of the text."""
+    for batch in batches:
+        for part in W.slices(batch, text):
+            at = part.schema.get_field_index(text)
+            column = part.column(at)
+            raw = column.to_pylist()
+            spans = part.column(part.num_columns - 1).to_pylist()
+            for r in (r for r, one in enumerate(spans) if one):
+                w = W.split(column.slice(r, 1), W.SPACES)
+                whole, pieces, last = raw[r].encode(), [], 0
+                for s in spans[r]:
+                    pieces.append(whole[last: w.start[s["start"]]])
+                    last = int(w.end[s["end"] - 1])
+                raw[r] = b"".join([*pieces, whole[last:]]).decode()
+            columns = part.columns[:-1]
+            columns[at] = pa.array(raw, column.type)
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
+    """docs with the removed words of each text taken out; docs is read several times."""
+    gone = (repeats(docs, id_col, text_col, words, k).where("removed_words > 0")
+            .select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), F.col("removed").alias("gone_spans")))
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    both = rows.join(gone, F.col(at[id_col]).cast("long").eqNullSafe(F.col("gone_id"))
+                     & (F.xxhash64(at[text_col]) == F.col("gone_t")), "left").drop("gone_id", "gone_t")
+    return both.mapInArrow(lambda it: _without(it, at[text_col]), rows.schema).toDF(*docs.columns)

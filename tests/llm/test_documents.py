@@ -344,3 +344,14 @@ def test_suffix_repeats_meet_past_other_left_contexts(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
     got = {r.doc_id: {x for s in r.repeated for x in range(s.start, s.end)} for r in suffixes.repeats(docs).collect()}
     assert {1, 99} <= got.keys() and got[1] == got[99] == set(range(50))
+
+
+def test_pipeline_takes_out_passages_across_lines(spark, sf):
+    """A repeated passage inside longer lines, or over several short ones, stays once."""
+    p = [f"p{i}" for i in range(60)]
+    own = {i: [f"x{i}_{j}" for j in range(80)] for i in range(1, 4)}
+    texts = {1: " ".join(own[1][:40] + p + own[1][40:]), 2: "é " + " ".join(own[2] + p) + "\nend",
+             3: " ".join(own[3]) + "\n" + "\n".join(" ".join(p[a: a + 20]) for a in (0, 20, 40))}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs, sf).collect()}
+    assert out[1] == texts[1] and out[2] == "é " + " ".join(own[2]) + " \nend" and out[3].split() == own[3]
