@@ -51,13 +51,13 @@ def distinct_shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _index(batches, k: int, percent: int):
-    """Rows (doc_id, n, e, main, band, u, toks); toks is empty for sets that the task has had."""
+    """Rows (doc_id, t, n, e, main, band, u, toks); toks is empty for sets that the task has had."""
     had: set[int] = set()
     low = SMALL * percent // 100
     for batch in batches:
         for part in W.slices(batch, "text"):
-            ids, n, e, main, band, u, toks = [], [], [], [], [], [], []
-            for doc, one in zip(part.column("doc_id").to_pylist(), distinct_shingles(part.column("text"), k)):
+            ids, texts, n, e, main, band, u, toks = [], [], [], [], [], [], [], []
+            for doc, text, one in zip(part.column("doc_id").to_pylist(), part.column("t").to_pylist(), distinct_shingles(part.column("text"), k)):
                 size, sign = len(one), W.set_hash(one)
                 new = size > 0 and sign not in had
                 had.add(sign)
@@ -69,16 +69,16 @@ def _index(batches, k: int, percent: int):
                     if lack > 0:
                         rows.append((2, 0, one[len(counted): len(counted) + lack]))
                 for i, (b, known, t) in enumerate(rows if new else rows[:1]):
-                    ids.append(doc), n.append(size), e.append(sign), main.append(i == 0), band.append(b)
+                    ids.append(doc), texts.append(text), n.append(size), e.append(sign), main.append(i == 0), band.append(b)
                     u.append(known), toks.append(t ^ np.uint64(_BANDS[b]) if new else t[:0])
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(e, pa.int64()), pa.array(main, pa.bool_()),
+                pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(n, pa.int32()), pa.array(e, pa.int64()), pa.array(main, pa.bool_()),
                 pa.array(band, pa.int32()), pa.array(u, pa.int32()),
                 W.list_column(W.signed(np.concatenate(toks)) if toks else np.zeros(0, np.int64), [len(t) for t in toks]),
-            ], names=["doc_id", "n", "e", "main", "band", "u", "toks"])
+            ], names=["doc_id", "t", "n", "e", "main", "band", "u", "toks"])
 
 
-_SCHEMA = "doc_id long, n int, e long, main boolean, band int, u int, toks array<long>"
+_SCHEMA = "doc_id long, t long, n int, e long, main boolean, band int, u int, toks array<long>"
 
 
 def _members(batches, k: int):
@@ -107,18 +107,15 @@ def counted_prefix(index: DataFrame, percent: int) -> DataFrame:
     return ranked.where(f"band = 2 or i <= {prefix_length('n', percent)} - (u - s)").select("key", "e")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
-                    percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of docs."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def labelled(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(doc_id, t, n, label, component_id), a row per row of docs; t is the hash of the text, label null without shingles."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     index = scratch.keep(texts.mapInArrow(lambda it: _index(it, k, percent), _SCHEMA))
-    rows = index.where("main").select("doc_id", "n", "e")
+    rows = index.where("main").select("doc_id", "t", "n", "e")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         ids = rows.join(wanted, "e").groupBy("e").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        some = texts.alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
+        some = texts.drop("t").alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
         sets = some.mapInArrow(lambda it: _members(it, k), "e long, members array<long>")
         return sets.join(wanted, "e", "left_semi").dropDuplicates(["e"])
 
@@ -127,18 +124,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("least"))
     in_group = classes.join(label, "e", "left").withColumn("label", F.coalesce("label", "e"))
     smallest = in_group.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = scratch.keep(in_group.join(smallest, "label").select("e", "component_id"))
+    of_set = scratch.keep(in_group.join(smallest, "label").select("e", "label", "component_id"))
     return rows.join(of_set, "e", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "t", "n", F.when(F.col("n") > 0, F.col("label")).alias("label"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
+                    percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per row of docs."""
+    found = labelled(docs, Scratch(docs.sparkSession), id_col, text_col, k, percent)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
                 percent: int = PERCENT) -> DataFrame:
-    """docs without near copies: of each component the rows with its smallest id, equal texts under one id once."""
-    found = near_duplicates(docs, id_col, text_col, k, percent)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    """docs without near copies: of each component one row with its smallest id, and one of those without an id.
+
+    Rows are told apart by id and hash of the text, so an id that stands on several texts loses only
+    those that are near copies; of rows that repeat both, one stays, the first as JSON.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(labelled(docs, scratch, id_col, text_col, k, percent)
+                         .groupBy("doc_id", "t", "label").agg(F.count(F.lit(1)).alias("rows")))
+    first = (found.where("label is not null").groupBy("label", F.isnull("doc_id").alias("unnamed"))
+             .agg(F.min(F.struct("doc_id", "t")).alias("first")))
+    marks = scratch.keep(
+        found.withColumn("unnamed", F.isnull("doc_id")).join(first, ["label", "unnamed"], "left")
+        .withColumn("stays", F.isnull("label") | F.struct("doc_id", "t").eqNullSafe(F.col("first")))
+        .where("not stays or rows > 1").select(F.col("doc_id").alias("mark_id"), F.col("t").alias("mark_t"), "stays"))
     named = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    at = f"c{docs.columns.index(id_col)}"
-    stays = named.join(gone, F.col(at).cast("long") == F.col("gone_id"), "left_anti")
-    return stays.toDF(*docs.columns)
+    key = F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.xxhash64(f"c{docs.columns.index(text_col)}")
+    marked = key[0].eqNullSafe(F.col("mark_id")) & (key[1] == F.col("mark_t"))
+    once = named.join(marks, marked, "left_anti")
+    repeated = (named.join(marks.where("stays"), marked, "left_semi").groupBy(key[0].alias("id"), key[1].alias("t"))
+                .agg(F.min_by(F.struct(*named.columns), F.to_json(F.struct(*named.columns))).alias("row")))
+    return once.unionAll(repeated.select("row.*")).toDF(*docs.columns)

@@ -355,3 +355,14 @@ def test_pipeline_takes_out_passages_across_lines(spark, sf):
     docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
     out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs, sf).collect()}
     assert out[1] == texts[1] and out[2] == "é " + " ".join(own[2]) + " \nend" and out[3].split() == own[3]
+
+
+def test_one_of_each_counts_rows(spark):
+    """One row of each component, by id and text; one more where rows have no id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "r"), (2, a + " more", "s"), (2, b, "s"), (3, a, "s"), (4, "", "s"), (4, "", "s"),
+            (5, b + " x", "s"), (5, b + " y", "s"), (None, c, "s"), (None, c + " x", "s"), (None, c, "s"), (6, None, "s"),
+            (7, c + " a b", "s"), (7, c + " a", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r.doc_id, (r.text or "-")[0], r.source) for r in ngram_join.one_of_each(docs).collect()]
+    assert Counter(got) == Counter([(1, "a", "r"), (2, "b", "s"), (4, "-", "s"), (None, "c", "s"), (6, "-", "s"), (7, "c", "s")])
