@@ -5,8 +5,8 @@ endings, whose texts are nearly all toxic and that stand in many different
 contexts (copies of one text repeat the same few).  Its trie is intersected with
 the Levenshtein automata of its terms into one table-driven automaton over
 characters, which all words of a slice of texts run through at once.  A hit is
-exact or has one or two typing errors, and stands inside quotation marks or
-not; windows around hits tell a cluster from a lone mention.  A logistic model
+exact or has one or two typing errors, and stands inside quotation marks (two that
+match, in one line, at most QUOTED words apart) or not; windows around hits tell a cluster from a lone mention.  A logistic model
 over these counts gives the score.  Its prior counts on hits outside quotation,
 so kinds of hit that the labelled rows don't show still weigh something.
 
@@ -128,12 +128,41 @@ def automaton(terms: list[Term]) -> Automaton:
     return Automaton(kinds, np.array(table, np.int32), edits)
 
 
-_OPEN, _CLOSE, _BOTH = "“«„", "”»", '"'
+#: Each closing mark and what it closes; U+201C opens where there is no U+201E to close.
+_CLOSES = {"”": "“„", "“": "„", "»": "«", '"': '"'}
+_OPEN, QUOTED = '“«„"', 100
 FEATURES = ("exact", "one error", "two errors", "quoted", "in one window", "share")
 #: Prior of the model: log odds without evidence, and for each feature.
 PRIOR = np.array([-3.0, 3.0, 1.5, 0.5, 0.0, 0.3, 0.5])
 
 
+def _quotations(points: np.ndarray, start: np.ndarray, spots: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where matching marks stand, opening and closing, in the lines that hold spots; start: where words begin."""
+    feeds = np.flatnonzero(points == 10)
+    marks = np.flatnonzero(np.isin(points, [ord(c) for c in {*_CLOSES, *_OPEN}]))
+    lines = np.searchsorted(feeds, marks)
+    here = np.isin(lines, np.searchsorted(feeds, spots))
+    opened, closed, waiting, last = [], [], [], -1
+    for at, line, words in zip(marks[here].tolist(), lines[here].tolist(), np.searchsorted(start, marks[here]).tolist()):
+        if line != last:
+            waiting, last = [], line
+        mark = chr(points[at])
+        opens = closes = True
+        if mark == '"':
+            # by what stands on either side: an inch mark opens nothing
+            before, behind = chr(points[at - 1]) if at else " ", chr(points[at + 1])
+            opens, closes = not behind.isspace() and not before.isalnum(), not before.isspace() and not behind.isalnum()
+            opens, closes = (opens, closes) if opens != closes else (True, True)
+        match = next((i for i in range(len(waiting) - 1, -1, -1) if closes and waiting[i][0] in _CLOSES.get(mark, "")), None)
+        if match is not None:
+            if words - waiting[match][2] <= QUOTED:
+                opened.append(waiting[match][1]), closed.append(at)
+            del waiting[match:]
+        elif opens and mark in _OPEN:
+            waiting.append((mark, at, words))
+    return opened, closed
+
+
 def features(texts: list[str | None], a: Automaton) -> np.ndarray:
     """A row per text: what FEATURES names."""
     low = [(t or "").lower() for t in texts]
@@ -158,11 +187,8 @@ def features(texts: list[str | None], a: Automaton) -> np.ndarray:
     n = len(texts)
     out = np.zeros((n, len(FEATURES)))
     if len(hit):
-        def before(marks: str) -> np.ndarray:
-            seen = np.concatenate([[0], np.cumsum(np.isin(points, [ord(c) for c in marks]))])
-            return seen[start[hit]] - seen[at[row]]
-
-        quoted = (before(_BOTH) % 2 == 1) | (before(_OPEN) > before(_CLOSE))
+        opened, closed = _quotations(points, start, start[hit])
+        quoted = np.searchsorted(np.sort(opened), start[hit]) > np.searchsorted(np.sort(closed), start[hit])
         free = ~quoted
         for i in range(3):
             out[:, i] = np.log1p(np.bincount(row[free & (edits[hit] == i)], minlength=n))

@@ -366,3 +366,12 @@ def test_one_of_each_counts_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = [(r.doc_id, (r.text or "-")[0], r.source) for r in ngram_join.one_of_each(docs).collect()]
     assert Counter(got) == Counter([(1, "a", "r"), (2, "b", "s"), (4, "-", "s"), (None, "c", "s"), (6, "-", "s"), (7, "c", "s")])
+
+
+def test_toxicity_quotation_is_two_matching_marks():
+    made = toxicity.automaton([toxicity.Term("idiot", False)])
+    texts = ['a 19" screen, you idiot', 'he said „so“ and you idiot', '"unclosed, you idiot', 'a 19" one, a 21" one, you idiot',
+             'said "so\nyou idiot" ', "“so” idiot ” x", 'he said "so", you idiot, "he said"', '"' + "x " * 200 + 'idiot"',
+             'x “idiot” y', 'x „idiot“ y', 'x „idiot” y', 'x «idiot» y', 'a 19" tv: "you idiot"', '" idiot "', '("idiot")', 'so “a „idiot“ b”']
+    got = toxicity.features(texts, made)
+    assert [bool(x[3]) for x in got] == [False] * 8 + [True] * 8 and [bool(x[0]) for x in got] == [True] * 8 + [False] * 8
