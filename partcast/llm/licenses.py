@@ -1,7 +1,9 @@
 r"""License scans: exact set-similarity join of text blocks with license templates.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the text with A-Z in small
-letters; a block is a line.  A block holds a template when at least `percent`
+letters; a block is a line, or a run of words over neighbouring lines (none of them
+without words), as many as the template has and as it may miss: so wrapped
+sentences are met.  A block holds a template when at least `percent`
 per cent of the template's distinct words are in it.  Template words are ordered
 by how often they occur in all texts, the rarest first: a block that holds the
 template has one of the first words, as many as it could miss and one more
@@ -69,9 +71,10 @@ class Scanner:
         self.phrases = [(_hash(p), label) for p, label in phrases.items()]
         self.templates, self.prefix, self.percent = [], {}, percent
         for which, (text, label) in enumerate(templates.items()):
+            span = -(-len(_hash(text)) * 100 // percent)
             order = sorted(set(_hash(text).tolist()), key=lambda h: (counts.get(h, 0), h))
             need = -(-len(order) * percent // 100)
-            self.templates.append((frozenset(order), need, label))
+            self.templates.append((frozenset(order), need, span, label))
             for i, h in enumerate(order[: len(order) - need + 1]):
                 self.prefix.setdefault(h, []).append((which, len(order) - i))
         self.first = np.sort(np.array(list(self.prefix), np.uint64))
@@ -94,17 +97,26 @@ class Scanner:
             slot = np.minimum(np.searchsorted(self.first, h), len(self.first) - 1)
             feeds = np.concatenate([[0], np.cumsum(w.data == 10)])
             line = feeds[w.start]
+            jump = np.ones(len(h), bool)
+            jump[1:] = (w.row[1:] != w.row[:-1]) | (line[1:] - line[:-1] > 1)
+            stretch, begins = np.cumsum(jump) - 1, np.append(np.flatnonzero(jump), len(h))
             tried = set()
             for a in np.flatnonzero(self.first[slot] == h).tolist():
                 row = int(w.row[a])
                 lo = int(np.searchsorted(line[w.first[row]: w.first[row + 1]], line[a], "left")) + int(w.first[row])
                 hi = int(np.searchsorted(line[w.first[row]: w.first[row + 1]], line[a], "right")) + int(w.first[row])
                 for which, rest in self.prefix[int(h[a])]:
-                    template, need, label = self.templates[which]
-                    if (lo, which) in tried or rest < need or hi - lo < need:
+                    template, need, span, label = self.templates[which]
+                    if rest < need:
                         continue
-                    tried.add((lo, which))
-                    held = len(template.intersection(h[lo:hi].tolist()))
+                    held = 0
+                    if (lo, which) not in tried and hi - lo >= need:
+                        tried.add((lo, which))
+                        held = len(template.intersection(h[lo:hi].tolist()))
+                    left, right = max(int(begins[stretch[a]]), a - span + 1), min(int(begins[stretch[a] + 1]), a + span)
+                    if (left < lo or right > hi) and right - left >= need:
+                        near = h[left:right].tolist()
+                        held = max(held, *(len(template.intersection(near[i: i + span])) for i in range(max(1, len(near) - span + 1))))
                     if held >= need:
                         more[row][label] = max(held / len(template), more[row].get(label, 0.0))
         out = []

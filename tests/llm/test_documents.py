@@ -375,3 +375,12 @@ def test_toxicity_quotation_is_two_matching_marks():
              'x “idiot” y', 'x „idiot“ y', 'x „idiot” y', 'x «idiot» y', 'a 19" tv: "you idiot"', '" idiot "', '("idiot")', 'so “a „idiot“ b”']
     got = toxicity.features(texts, made)
     assert [bool(x[3]) for x in got] == [False] * 8 + [True] * 8 and [bool(x[0]) for x in got] == [True] * 8 + [False] * 8
+
+
+def test_licenses_wrapped_over_lines(spark):
+    bsd = " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided"
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy"
+    apart = bsd.replace("\r\n", "\n\n")
+    texts = [(1, bsd), (2, mpl), (3, apart), (4, "Released under\nthe MIT\nlicense"), (5, "x\n" + mpl.replace("\n", " ") + "\ny")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: ("bsd", 1.0), 2: ("mpl-2", 1.0), 3: ("", 0.0), 4: ("mit", 1.0), 5: ("mpl-2", 1.0)}
