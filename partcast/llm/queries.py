@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partcast.llm import chat, decontaminate, lattice, licenses, mixing, ngram_join, paragraphs, sql, suffixes, toxicity, warc
+from partcast.llm import (chat, decontaminate, lattice, licenses, mixing, ngram_join, paragraphs, ranked, sql, suffixes, toxicity, warc,
+                          whitening)
 from partcast.llm.scratch import Scratch
 
 
@@ -71,12 +72,21 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents")).drop("t")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_licenses, op3_ngram_jaccard, op4_warc, op5_mixing, op6_lattice, op7_chat,
-                            op8_decontamination, op9_substring, op10_suffixes)
+                            op8_decontamination, op9_substring, op10_suffixes, op12_whitening, op13_ranked)
 }
 #: Fitted scores, iterated rates, tilings and probed cells have none; tests compare them with brute force.
 SQL: dict[str, str] = {
     "op2_licenses": sql.LICENSES, "op3_ngram_jaccard": sql.NGRAM_JACCARD, "op4_warc": sql.WARC,
     "op7_chat": sql.chat(HARD), "op9_substring": sql.REPEATED_LINES,
+    "op13_ranked": sql.RANKED,
 }

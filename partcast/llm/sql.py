@@ -12,6 +12,7 @@ from partcast.llm.licenses import PHRASES, TEMPLATES
 from partcast.llm.linking import PERCENT
 from partcast.llm.ngram_join import K
 from partcast.llm.paragraphs import MIN_WORDS
+from partcast.llm.ranked import TOP
 
 SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BY_SPACES, BY_MARKS = r"'[^\x20\x09-\x0D]+'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -78,6 +79,21 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigin
        cast(case when n > 0 then 1 else coalesce(share, 0) end as double) as score
 from d left join base on base.doc_id = d.doc_id left join more on more.doc_id = d.doc_id"""
 
+RANKED = f"""
+with d as (select row_number() over () as r, doc_id, {words("text", BY_MARKS)} as w from documents),
+doc as (select r, doc_id, cast(len(w) as bigint) as n from d where len(w) > 0),
+total as (select cast(count(*) as bigint) as docs, cast(coalesce(sum(n), 0) as bigint) as terms from doc),
+held as (select r, t, cast(count(*) as bigint) as tf from (select r, unnest(w) as t from d) group by r, t),
+freq as (select t, count(*) as df from held group by t),
+asked as (select i, t, count(*) as times from (select row_number() over () as i, unnest({words("text", BY_MARKS)}) as t from benchmark) group by i, t),
+item as (select row_number() over () as i, item_id from benchmark),
+met as (select i, r, cast(sum(times * cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+                 * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) as bigint) as score
+        from asked join held using (t) join freq using (t) join doc using (r), total group by i, r),
+best as (select i, r, score, row_number() over (partition by i order by score desc, doc_id nulls last) as rank
+         from met join doc using (r) where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from best join item using (i) join doc using (r) where rank <= {TOP}"""
+
 WARC = """
 with p as (select page_id, coalesce(html, '') as h, min(page_id) over (partition by coalesce(html, '')) as first from pages),
 five as (select page_id, h, first, list_transform(range(0, 8),
