@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partcast.llm import (chat, decontaminate, lattice, licenses, mixing, ngram_join, paragraphs, ranked, sql, suffixes, toxicity, warc,
-                          whitening)
+from partcast.llm import (chat, decontaminate, lattice, licenses, lm, mixing, ngram_join, paragraphs, ranked, sql, suffixes, toxicity,
+                          warc, whitening)
 from partcast.llm.scratch import Scratch
 
 
@@ -72,6 +72,11 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents")).drop("t")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.annotate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -82,7 +87,8 @@ def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_licenses, op3_ngram_jaccard, op4_warc, op5_mixing, op6_lattice, op7_chat,
-                            op8_decontamination, op9_substring, op10_suffixes, op12_whitening, op13_ranked)
+                            op8_decontamination, op9_substring, op10_suffixes, op11_lm_scores,
+                            op12_whitening, op13_ranked)
 }
 #: Fitted scores, iterated rates, tilings and probed cells have none; tests compare them with brute force.
 SQL: dict[str, str] = {
