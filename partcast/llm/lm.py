@@ -51,13 +51,13 @@ from partcast.llm.scratch import Scratch
 _U = np.uint64
 END, START = _U(0xD6E8FEB86659FD93), _U(0xCA5A826395121157)
 #: Tokens of a chunk (more if one text has more), and training tokens of a shard.
-CHUNK, SHARD = 1_500_000, 4_000_000
+CHUNK, SHARD = 800_000, 3_000_000
 HOT = 1 << 20
 
 
 class Weights(NamedTuple):
-    order: int = 3
-    of_order: tuple[float, ...] = (0.1, 30.0)   #: a_k from order 2 on
+    order: int = 2
+    of_order: tuple[float, ...] = (1.0,)        #: a_k from order 2 on
     prior: float = 100.0                        #: mu
     least: int = 1                              #: occurrences that an n-gram of the highest order needs
 
@@ -85,7 +85,7 @@ class Chunk(NamedTuple):
     sizes: np.ndarray       #: tokens of each text
     text: np.ndarray        #: of each token, the text's place in the chunk
     tokens: np.ndarray
-    left: list[np.ndarray]  #: the tokens before, nearest first
+    left: list[np.ndarray]  #: marks of the tokens before, nearest first
 
 
 def chunks(batches, order: int, limit: int) -> Iterator[Chunk]:
@@ -96,12 +96,13 @@ def chunks(batches, order: int, limit: int) -> Iterator[Chunk]:
     def made() -> Chunk:
         n, t = np.concatenate(sizes), np.concatenate(tokens)
         first = np.cumsum(n) - n
-        text = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(t)) - first[text]
-        left = []
+        text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        left, mark = [], _marks(t) if order > 1 else None
         for k in range(1, order):
-            before = np.full(len(t), START)
-            before[k:] = np.where(place[k:] >= k, t[:-k], START)
+            before = np.empty(len(t), np.uint32)
+            before[k:] = mark[:-k]
+            for i in range(k):  # no text is shorter than its end; what lies before it is START
+                before[np.minimum(first + i, first + n - 1)] = _START
             left.append(before)
         return Chunk(at, pa.concat_arrays(ids), n, text, t, left)
 
@@ -119,6 +120,13 @@ def chunks(batches, order: int, limit: int) -> Iterator[Chunk]:
         yield made()
 
 
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    return (W.mix(tokens ^ _U(0x9FB21C651E98DF25)) >> _U(32)).astype(np.uint32)
+
+
+_START = _marks(np.array([START]))[0]
+
+
 def _varint(values: np.ndarray) -> np.ndarray:
     """Numbers >= 0 in groups of 7 bits."""
     v = np.asarray(values, np.uint64)
@@ -143,30 +151,31 @@ def _plain(packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marks(tokens: np.ndarray) -> np.ndarray:
-    return (W.mix(tokens ^ _U(0x9FB21C651E98DF25)) >> _U(32)).astype(np.uint32)
-
-
 def _deal(c: Chunk, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, word, rank) of the chunk's distinct words in their shards, by shard and word; rank is of each token."""
-    shard = (W.mix(c.tokens ^ _U(0x2545F4914F6CDD1D)) % _U(shards)).astype(np.int64)
-    name = c.tokens
+    home = lambda x: (W.mix(x) % _U(shards)).astype(np.int32)
+    name, spread = c.tokens, None
     if len(hot):
-        met = hot[np.minimum(np.searchsorted(hot, c.tokens), len(hot) - 1)] == c.tokens
-        shard[met] = (W.mix(c.tokens[met] ^ W.mix(c.left[0][met])) % _U(shards)).astype(np.int64)
-        name = np.where(met, W.mix(c.tokens + shard.astype(np.uint64) + _U(1)), c.tokens)
+        spread = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, c.tokens), len(hot) - 1)] == c.tokens)
+        own = home(c.tokens[spread] ^ W.mix(c.left[0][spread].astype(np.uint64)))
+        name = c.tokens.copy()
+        name[spread] = W.mix(c.tokens[spread] + own.astype(np.uint64) + _U(1))
     _, one, back = np.unique(name, return_index=True, return_inverse=True)
-    order = np.lexsort((c.tokens[one], shard[one]))
-    rank = np.empty(len(one), np.int64)
+    word = c.tokens[one]
+    shard = home(word ^ _U(0x2545F4914F6CDD1D))
+    if spread is not None:
+        shard[back[spread]] = own
+    order = np.lexsort((word, shard))
+    rank = np.empty(len(one), np.int32)
     rank[order] = np.arange(len(one))
-    return shard[one][order], c.tokens[one][order], rank[back]
+    return shard[order], word[order], rank[back]
 
 
 def rows(c: Chunk, shards: int, hot: np.ndarray, with_texts: bool) -> Iterator[tuple[int, bytes]]:
     """(shard, packed n-grams): words; per level the number of children of each node above and their marks; per
     n-gram its count or, with_texts, how many texts hold it, which, and how often."""
     shard, word, rank = _deal(c, shards, hot)
-    marks = [_marks(x) for x in c.left]
+    marks = c.left
     key = (rank.astype(np.uint64) << _U(32)) | marks[0].astype(np.uint64)
     order = np.lexsort((*marks[:0:-1], key)) if len(marks) > 1 else np.argsort(key, kind="stable")
     rank, text, marks = rank[order], c.text[order], [m[order] for m in marks]
