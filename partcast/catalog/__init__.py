@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("forecasting", "relational", "costing", "inference", "learning")
+AREAS = ("forecasting", "relational", "costing", "inference", "intervals", "learning")
 
 
 def load():

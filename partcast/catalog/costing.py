@@ -277,8 +277,8 @@ def critical_fractile_summary(spark, sf):
     return q.join(share, "g").select(r("p10"), r("p50"), r("p90"), r("share_above_half"))
 
 
-def _arm_sql() -> str:
-    parts, tags = [Q.panel()], []
+def arm_sql(grain: str = "sku") -> str:
+    parts, tags = [Q.panel(grain)], []
     for i, win in enumerate(dict.fromkeys((a[1], a[2], a[3]) for a in C.ARMS)):
         w, tag = C.Window(*win), f"_w{i}"
         arms = [a for a in C.ARMS if (a[1], a[2], a[3]) == win]
@@ -294,7 +294,7 @@ def _arm_sql() -> str:
     return ",".join(parts)
 
 
-ARMS_SQL = _arm_sql()
+ARMS_SQL = arm_sql()
 
 
 @add("specification_arms", Q.query(ARMS_SQL + """,

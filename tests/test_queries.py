@@ -9,6 +9,8 @@ from check import compare, fetch_duck
 # corpus operators have tests of their own
 QUERIES = dict(load().queries)
 SQL = dict(load().sql)
+#: More replicates than SQL can hold; test_replicates compares them with fewer.
+PUBLISHED = {n for n in QUERIES if n.rsplit("_", 1)[-1] in ("1000", "2000", "10000", "20000")}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -27,7 +29,7 @@ def test_entry_is_lazy_and_named(spark):
 
 
 def test_only_fitted_or_keyed_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {
+    assert set(QUERIES) - set(SQL) == PUBLISHED | {
         "fill_matched_policy", "learner_forecast", "learner_importance", "learner_quantiles", "pseudonymise_blake2b"}
 
 
