@@ -53,6 +53,8 @@ END, START = _U(0xD6E8FEB86659FD93), _U(0xCA5A826395121157)
 #: Tokens of a chunk (more if one text has more), and training tokens of a shard.
 CHUNK, SHARD = 800_000, 3_000_000
 HOT = 1 << 20
+#: Partitions per shard: with as many as shards, hashing puts five of them into one task.
+SPREAD = 4
 
 
 class Weights(NamedTuple):
@@ -292,7 +294,7 @@ def fit(docs: DataFrame, scratch: Scratch, weights: Weights = Weights(), chunk:
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
 
     tries = scratch.keep(
-        docs.mapInArrow(blocks, "shard int, data binary").repartition(model.shards, "shard").sortWithinPartitions("shard")
+        docs.mapInArrow(blocks, "shard int, data binary").repartition(SPREAD * model.shards, "shard").sortWithinPartitions("shard")
         .mapInArrow(lambda it: _tries(it, shared.value), "shard int, tokens long, data binary"))
     # shards of more than four times the mean: fewer than a quarter of them
     parts = {r.shard: -(-r.tokens // shard_tokens) for r in tries.where(F.col("tokens") > 4 * shard_tokens).select("shard", "tokens").collect()}
@@ -407,7 +409,7 @@ def score(docs: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
     tries = tries.select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"),
                          F.lit(0).cast("long").alias("chunk"), "data")
     asked = docs.mapInArrow(lambda it: _ask(it, shared.value, chunk), _ASKED)
-    tasks = model.shards + sum(model.parts.values())
+    tasks = SPREAD * (model.shards + sum(model.parts.values()))
     met = (tries.unionAll(asked).repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "kind", "chunk")
            .mapInArrow(lambda it: _meet(it, shared.value), "chunk long, kind int, shard int, data binary"))
     return (met.repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"), "shard")
