@@ -77,15 +77,18 @@ def in_shared_lists(listed: DataFrame) -> DataFrame:
 
 
 def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch: Scratch,
-           percent: int = PERCENT, star_rounds: int = 3) -> DataFrame:
+           percent: int = PERCENT, star_rounds: int = 3, lists: DataFrame | None = None) -> DataFrame:
     """candidates (e) -> (e, label), for sets that are similar to another one.
 
+    Sets meet in the lists of their prefix or, where lists (key, e, n, left, shared) are given, in those.
+
     label is the smallest e of the group.  fetch gives (e, members) for the sets
     of a one-column table e.  Frequencies are those among the candidates: any
     global order is right, and this one leaves the shortest lists.
     """
     sets = scratch.keep(fetch(scratch.keep(candidates)))
-    lists = scratch.keep(in_shared_lists(scratch.keep(postings(sets, percent))))
+    if lists is None:
+        lists = scratch.keep(in_shared_lists(scratch.keep(postings(sets, percent))))
     label = None
     for r in range(star_rounds + 1):
         now = lists.withColumn("label", F.col("e"))

@@ -1,24 +1,31 @@
 """Repeated passages: paragraph MinHash banding, verified, clustered, removed.
 
-A paragraph is a line of at least min_words words.  Equal shingle sets are one
-paragraph from the start.  Each set gets bands of MinHash values, tuned so that
-a pair at the threshold is missed less than once in twenty thousand times;
-paragraphs that share a band with another one are verified by the exact Jaccard
-similarity of their shingle sets and clustered by components, without forming
-all pairs of a group (see `linking`).  Of a cluster the occurrence with the smallest document
-id and line stays.
-
-Passages that stand inside longer lines, or run over several, are not looked at
-here: `suffixes` finds those, and the pipeline runs it on what this leaves.
-
-Defined results: null and empty texts have no paragraphs; shorter lines are
-never touched; rows that repeat both id and text count as one occurrence, and
-all of them are treated alike; a null id sorts first.  Other columns pass
-through `without_repeats`, which rewrites the text (and nothing else).
+A paragraph doesn't depend on line breaks: it is the run of `words` words from a
+content-selected place on, the first of a k-gram that is the smallest of some
+`window` neighbouring ones.  A passage holds the same such places wherever it
+stands, so copies have paragraphs of equal words whatever surrounds them: one of
+words + window - 1 words (50 by default) or more surely holds a whole one.
+
+Paragraphs whose first gram occurs once drop out before anything is compared.
+Equal shingle sets are one set from the start.  Each set gets bands of MinHash
+values, as many and as wide as `tune` finds for the threshold and the recall
+asked for.  Sets that collide in a band are joined (see `linking`: a crowded
+bucket is thinned in star rounds, without all of its pairs), verified by the exact
+Jaccard similarity of their shingles, and clustered by components.  Of a cluster
+the occurrence with the smallest document id, place and text hash is the first,
+and stays together with those in the same text that overlap it; the words of the
+others are removed, unless a first occurrence of another cluster covers them.
+
+Defined results: null, empty and shorter texts have no paragraphs; rows that
+repeat both id and text count as one occurrence, and all of them are treated
+alike; a null id sorts first.  Other columns pass through `without_repeats`,
+which takes the removed words out of the text and leaves all separators.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,134 +34,180 @@ from pyspark.sql import functions as F
 from partcast.llm import words as W
 from partcast.llm.linking import PERCENT, groups, in_shared_lists
 from partcast.llm.scratch import Scratch
+from partcast.llm.suffixes import FOUND, by_text, cut_out, minimisers
 
-K, MIN_WORDS = 5, 50
-#: Bands of rows: at similarity 0.8 a pair is missed with probability (1 - 0.8^3)^14 = 4e-5.
-BANDS, ROWS = 14, 3
-
-_rng = np.random.default_rng(9)
-_XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def lines(column: pa.Array, k: int, min_words: int):
-    """(row, line, words, shingle hashes, where each line's begin) of the lines of at least min_words words."""
-    w = W.split(column, W.SPACES)
-    n = len(w.start)
-    feeds = np.concatenate([[0], np.cumsum(w.data == 10)])
-    line = feeds[w.start]
-    new = np.ones(n, bool)
-    new[1:] = (w.row[1:] != w.row[:-1]) | (line[1:] != line[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, n))
-    _, at = W.flat(column)
-    row = w.row[first]
-    number = line[first] - feeds[at[row]]
-    used = count >= min_words
-    values, begin = W.shingles(W.hashes(w), np.where(used, count, 0), np.append(first, n), k)
-    return row[used], number[used], count[used], values, begin[np.append(np.flatnonzero(used), len(used))]
-
-
-def bands(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A key per line and band."""
-    out = np.empty((len(begin) - 1, BANDS), np.uint64)
-    for b in range(BANDS):
-        acc = np.full(len(begin) - 1, b + 1, np.uint64)
-        for i in range(b * ROWS, (b + 1) * ROWS):
-            least = np.minimum.reduceat((values ^ _XOR[i]) * _MUL[i], begin[:-1])
-            acc = W.mix(acc + least)
-        out[:, b] = acc
-    return out
-
-
-def _unique(values: np.ndarray) -> np.ndarray:
-    one = np.sort(values)
-    return one[np.concatenate([[True], one[1:] != one[:-1]])]
-
-
-def _index(batches, k: int, min_words: int):
-    """(doc_id, t, line, words, n, e, keys): keys is empty for sets that the task has had."""
-    had: set[int] = set()
-    for batch in batches:
-        for part in W.slices(batch, "text"):
-            row, number, count, values, begin = lines(part.column("text"), k, min_words)
-            if not len(row):
-                continue
-            keys = bands(values, begin)
-            size, sign, new = [], [], []
-            for a, b in zip(begin[:-1], begin[1:]):
-                one = _unique(values[a:b])
-                e = W.set_hash(one)
-                size.append(len(one)), sign.append(e), new.append(e not in had)
-                had.add(e)
-            new = np.array(new, bool)
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id").take(pa.array(row)), part.column("t").take(pa.array(row)),
-                pa.array(number.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(size, pa.int32()),
-                pa.array(sign, pa.int64()), W.list_column(W.signed(keys[new].ravel()), new * BANDS)],
-                names=["doc_id", "t", "line", "words", "n", "e", "keys"])
-
-
-def _members(batches, k: int, min_words: int):
-    had: set[int] = set()
+K, WORDS, WINDOW, GRAM = 5, 41, 10, 8
+RECALL, HASHES = 0.99, 24
+
+
+def tune(percent: int, recall: float, hashes: int) -> tuple[int, int]:
+    """(bands, rows): the widest bands that find a pair at the threshold with the recall asked for, within so many hashes.
+
+    Wider bands let fewer unlike pairs collide; narrower ones need fewer hashes.
+    """
+    best = None
+    for rows in range(1, hashes + 1):
+        met = (percent / 100) ** rows
+        bands = ceil(log(1 - recall) / log(1 - met)) if met < 1 else 1
+        if bands * rows <= hashes:
+            best = bands, rows
+    if best is None:
+        raise ValueError(f"{hashes} hashes can't reach a recall of {recall}")
+    return best
+
+
+class Sets:
+    """The shingle sets of paragraphs, and their band keys."""
+
+    def __init__(self, k: int, words: int, window: int, gram: int, bands: int, rows: int) -> None:
+        self.k, self.words, self.window, self.gram = k, words, window, gram
+        rng = np.random.default_rng(9)
+        self.xor = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64)
+        self.mul = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, gram) of the paragraphs of one text."""
+        g = W.grams(h, self.gram)
+        at = minimisers(g, self.window)
+        at = at[at + self.words <= len(h)]
+        return at, g[at]
+
+    def shingles(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted shingles, which of them are the first of their kind, hash of the set), a row per paragraph."""
+        s = np.sort(W.grams(h, self.k)[at[:, None] + np.arange(self.words - self.k + 1)], axis=1)
+        new = np.ones(s.shape, bool)
+        new[:, 1:] = s[:, 1:] != s[:, :-1]
+        with np.errstate(over="ignore"):
+            total = np.where(new, W.mix(s), 0).sum(axis=1, dtype=np.uint64) + new.sum(axis=1).astype(np.uint64)
+        return s, new, W.mix(total)
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """A key per paragraph and band."""
+        out = np.empty((len(s), len(self.xor)), np.uint64)
+        for b, (xor, mul) in enumerate(zip(self.xor, self.mul)):
+            acc = np.full(len(s), b + 1, np.uint64)
+            for x, m in zip(xor, mul):
+                acc = W.mix(acc + ((s ^ x) * m).min(axis=1))
+            out[:, b] = acc
+        return out
+
+
+def _texts(part: pa.RecordBatch, words: int):
+    """(row, word hashes) of each text of at least so many words."""
+    w = W.split(part.column("text"), W.SPACES)
+    h = W.hashes(w)
+    for r in np.flatnonzero(w.count >= words):
+        yield int(r), h[w.first[r]: w.first[r + 1]]
+
+
+def _grams(batches, sets: Sets):
+    """(doc_id, t, gram, n): first grams of each text's paragraphs, and how often each occurs in it."""
     for batch in batches:
         for part in W.slices(batch, "text"):
-            *_, values, begin = lines(part.column("text"), k, min_words)
-            rows = []
-            for a, b in zip(begin[:-1], begin[1:]):
-                one = _unique(values[a:b])
-                if (e := W.set_hash(one)) not in had:
-                    had.add(e)
-                    rows.append((e, one))
+            rows, keys, often = [], [], []
+            for r, h in _texts(part, sets.words):
+                one, n = np.unique(sets.places(h)[1], return_counts=True)
+                rows.append(np.full(len(one), r)), keys.append(one), often.append(n)
             if rows:
+                r = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([e for e, _ in rows], pa.int64()),
-                    W.list_column(W.signed(np.concatenate([x for _, x in rows])), [len(x) for _, x in rows])],
-                    names=["e", "members"])
-
+                    part.column("doc_id").take(r), part.column("t").take(r), pa.array(W.signed(np.concatenate(keys))),
+                    pa.array(np.concatenate(often).astype(np.int32))], names=["doc_id", "t", "gram", "n"])
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
-            min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Paragraphs that occur more than once: (doc_id, t, line, words, first_doc_id, first_line, copies, kept).
 
-    t is the hash of the whole text: with the id it tells rows apart.
+def _index(batches, sets: Sets):
+    """(doc_id, t, place, n, e, keys) of paragraphs with one of the grams; keys is empty for sets that the task has had."""
+    had: set[int] = set()
+    for batch in batches:
+        for part in W.slices(batch, "text"):
+            grams = part.column("grams").to_pylist()
+            for r, h in _texts(part, sets.words):
+                at, g = sets.places(h)
+                at = at[np.isin(g, np.array(grams[r], np.int64).view(np.uint64))]
+                for a in range(0, len(at), 1 << 13):    # a text of any length, a bounded matrix at a time
+                    some = at[a: a + (1 << 13)]
+                    s, first, e = sets.shingles(h, some)
+                    sign = W.signed(e)
+                    _, one = np.unique(sign, return_index=True)
+                    new = np.zeros(len(some), bool)
+                    new[[i for i in one.tolist() if sign[i] not in had]] = True
+                    had.update(sign[new].tolist())
+                    row = pa.array(np.full(len(some), r))
+                    yield pa.RecordBatch.from_arrays([
+                        part.column("doc_id").take(row), part.column("t").take(row), pa.array(some.astype(np.int32)),
+                        pa.array(first.sum(axis=1).astype(np.int32)), pa.array(sign),
+                        W.list_column(W.signed(sets.keys(s[new]).ravel()), new * len(sets.xor))],
+                        names=["doc_id", "t", "place", "n", "e", "keys"])
+
+
+def _members(batches, sets: Sets):
+    """(e, members) of the sets named in wanted."""
+    for batch in batches:
+        for part in W.slices(batch, "text"):
+            wanted = part.column("wanted").to_pylist()
+            for r, h in _texts(part, sets.words):
+                need = np.array(wanted[r], np.int64)
+                at = sets.places(h)[0]
+                for a in range(0, len(at), 1 << 13):
+                    s, first, e = sets.shingles(h, at[a: a + (1 << 13)])
+                    sign, one = np.unique(W.signed(e), return_index=True)
+                    some = one[np.isin(sign, need)]
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(W.signed(e[some])), W.list_column(W.signed(s[some][first[some]]), first[some].sum(axis=1))],
+                            names=["e", "members"])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS, window: int = WINDOW,
+            percent: int = PERCENT, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
+    """(doc_id, t, repeated_words, removed_words, repeated, removed) for each text with a repeated paragraph.
+
+    Spans are words [start, end) of the text; t, the hash of the text, tells rows of one id apart.
     """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"),
-                        F.col(text_col).alias("text"))
-    index = scratch.keep(texts.mapInArrow(
-        lambda it: _index(it, k, min_words), "doc_id long, t long, line int, words int, n int, e long, keys array<long>"))
-    places = index.drop("keys")
+    scratch, sets = Scratch(docs.sparkSession), Sets(k, words, window, GRAM, *tune(percent, recall, hashes))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+
+    def with_texts(rows: DataFrame, value: str, name: str) -> DataFrame:
+        """Each text once, with the values that its rows have."""
+        of = rows.groupBy("doc_id", "t").agg(F.collect_set(value).alias(name)).toDF("d", "u", name)
+        return (texts.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")))
+                .dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", name))
+
+    grams = scratch.keep(texts.mapInArrow(lambda it: _grams(it, sets), "doc_id long, t long, gram long, n int"))
+    shared = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    index = scratch.keep(with_texts(grams.join(shared, "gram"), "gram", "grams").mapInArrow(
+        lambda it: _index(it, sets), "doc_id long, t long, place int, n int, e long, keys array<long>"))
+    scratch.drop(grams)
+    places = index.drop("keys", "n")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        ids = places.join(wanted, "e").groupBy("e").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        some = texts.alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-        sets = some.select("text").mapInArrow(lambda it: _members(it, k, min_words), "e long, members array<long>")
-        return sets.join(wanted, "e", "left_semi").dropDuplicates(["e"])
-
-    banded = index.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "e")
-    label = groups(in_shared_lists(banded).select("e").distinct(), fetch, scratch, percent)
-    # distinct sets first, each with its first place: a set that a third of all lines share is one row per task
-    first = F.struct("doc_id", "line", "t")
-    sets = places.groupBy("e").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
-    of_set = sets.join(label, "e", "left").withColumn("label", F.coalesce("label", "e"))
-    clusters = of_set.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
-    found = scratch.keep(of_set.select("e", "label").join(clusters, "label").select("e", "first", "copies"))
-    return places.join(found, "e").select(
-        "doc_id", "t", "line", "words", F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.line").alias("first_line"), "copies", first.eqNullSafe(F.col("first")).alias("kept"))
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
-                    min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with every repeated paragraph but the first taken out of the text."""
-    found = repeats(docs, id_col, text_col, k, min_words, percent)
-    gone = (found.where("not kept").groupBy("doc_id", "t").agg(F.collect_set("line").alias("lines"))
-            .toDF("gone_id", "gone_t", "gone_lines"))
-    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    both = rows.join(gone, F.col(at[id_col]).cast("long").eqNullSafe(F.col("gone_id"))
-                     & (F.xxhash64(at[text_col]) == F.col("gone_t")), "left")
-    less = F.array_join(F.filter(F.split(at[text_col], "\n"), lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
-    return both.select([(F.when(F.col("gone_lines").isNotNull(), less).otherwise(F.col(at[c])) if c == text_col
-                         else F.col(at[c])).alias(c) for c in docs.columns])
+        where = places.join(wanted, "e").groupBy("e").agg(F.min(F.struct("doc_id", "t")).alias("at"))
+        some = with_texts(where.select("at.doc_id", "at.t", "e"), "e", "wanted")
+        return some.mapInArrow(lambda it: _members(it, sets), "e long, members array<long>").dropDuplicates(["e"])
+
+    banded = (index.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "e", "n").dropDuplicates(["key", "e"])
+              .selectExpr("key", "e", "n", "CAST(NULL AS INT) AS left", "0.0D AS shared"))
+    met = scratch.keep(in_shared_lists(banded))
+    label = groups(met.select("e").distinct(), fetch, scratch, percent, lists=met)
+    # distinct sets first, each with its first place: a set that a third of all texts hold is one row per task
+    first = F.struct("doc_id", "place", "t")
+    ends = lambda: [F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")]
+    of_set = (places.select("e", first.alias("first"), first.alias("last"), F.col("t").alias("low"), F.col("t").alias("high"))
+              .groupBy("e").agg(*ends()).join(label, "e", "left").withColumn("label", F.coalesce("label", "e")))
+    clusters = of_set.groupBy("label").agg(*ends())
+    near = lambda x: (x["doc_id"].eqNullSafe(F.col("first.doc_id")) & (x["t"] == F.col("first.t"))
+                      & (x["place"] < F.col("first.place") + words))
+    # where all occurrences overlap the first, they stand in one text and the last overlaps it
+    repeated = clusters.where(~near(F.col("last")) | (F.col("low") < F.col("high"))).select("label", "first")
+    found = scratch.keep(of_set.select("e", "label").join(repeated, "label").select("e", "first"))
+    of_text = places.join(found, "e").select(
+        "doc_id", "t", F.array("place").alias("places"),
+        near({c: F.col(c) for c in ("doc_id", "t", "place")}).alias("kept"))
+    return (of_text.repartition("doc_id", "t").sortWithinPartitions("doc_id", "t")
+            .mapInArrow(lambda it: by_text(it, words), FOUND))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with every repeated paragraph but the first taken out of the text; docs is read several times."""
+    found = Scratch(docs.sparkSession).keep(repeats(docs, id_col, text_col, **options))
+    return cut_out(docs, found, id_col, text_col)

@@ -93,6 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Fitted scores, iterated rates, tilings and probed cells have none; tests compare them with brute force.
 SQL: dict[str, str] = {
     "op2_licenses": sql.LICENSES, "op3_ngram_jaccard": sql.NGRAM_JACCARD, "op4_warc": sql.WARC,
-    "op7_chat": sql.chat(HARD), "op9_substring": sql.REPEATED_LINES,
+    "op7_chat": sql.chat(HARD),
     "op13_ranked": sql.RANKED,
 }

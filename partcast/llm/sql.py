@@ -11,7 +11,6 @@ from partcast.llm.licenses import PERCENT as HELD
 from partcast.llm.licenses import PHRASES, TEMPLATES
 from partcast.llm.linking import PERCENT
 from partcast.llm.ngram_join import K
-from partcast.llm.paragraphs import MIN_WORDS
 from partcast.llm.ranked import TOP
 
 SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,21 +42,6 @@ least as (select a, min(b) as b from reach group by a)
 select w.e as doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(least(least.b, w.e), w.e) as component_id
 from w left join size on size.e = w.e left join least on least.a = w.e"""
 
-REPEATED_LINES = f"""
-with recursive lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) as t from documents),
-numbered as (select doc_id, unnest(range(len(t))) as line, unnest(t) as t from lines),
-long as (select doc_id, line, {words("t", BY_SPACES)} as w from numbered),
-place as (select doc_id, line, len(w) as words, list_sort(list_distinct({shingles("w")})) as m from long where len(w) >= {MIN_WORDS}),
-sets as (select m, row_number() over (order by m) as e from (select distinct m from place)),
-member as (select e, unnest(m) as s from sets),{REACH},
-least as (select a, min(b) as b from reach group by a),
-labelled as (select doc_id, line, words, coalesce(least(least.b, e), e) as label
-       from place join sets using (m) left join least on least.a = e),
-cluster as (select label, min(struct_pack(d := doc_id, l := line)) as f, count(*) as copies from labelled group by label)
-select doc_id, cast(line as int) as line, cast(words as int) as words, f.d as first_doc_id, cast(f.l as int) as first_line,
-       cast(copies as bigint) as copies, (doc_id = f.d and line = f.l) as kept
-from labelled join cluster using (label) where copies > 1"""
-
 _places = ", ".join(
     f"struct_pack(label := '{label}', found := list_filter(range(0, len(w) - {len(p.split()) - 1}), "
     f"lambda i: w[i + 1:i + {len(p.split())}] = {p.split()}))" for p, label in PHRASES.items())

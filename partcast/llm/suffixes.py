@@ -112,10 +112,10 @@ def _spans(covered: np.ndarray) -> list[dict]:
 
 
 _SPAN = "array<struct<start:int,end:int>>"
-_FOUND = f"doc_id long, t long, repeated_words long, removed_words long, repeated {_SPAN}, removed {_SPAN}"
+FOUND = f"doc_id long, t long, repeated_words long, removed_words long, repeated {_SPAN}, removed {_SPAN}"
 
 
-def _by_text(batches, words: int):
+def by_text(batches, words: int):
     """Repeated windows (doc_id, t, places, kept) in order of text -> a row per text; kept: the first place stays."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = [pa.int64()] * 4 + [kind] * 2
@@ -186,7 +186,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                          .select("doc_id", "t", "places", place.eqNullSafe(F.col("first")).alias("kept")))
     scratch.drop(windows)
     found = scratch.keep(again.repartition("doc_id", "t").sortWithinPartitions("doc_id", "t")
-                         .mapInArrow(lambda it: _by_text(it, words), _FOUND))
+                         .mapInArrow(lambda it: by_text(it, words), FOUND))
     scratch.drop(again)
     return found
 
@@ -211,12 +211,17 @@ def _without(batches, text: str):
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
-    """docs with the removed words of each text taken out; docs is read several times."""
-    gone = (repeats(docs, id_col, text_col, words, k).where("removed_words > 0")
-            .select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), F.col("removed").alias("gone_spans")))
+def cut_out(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the removed words of each text, as found by `repeats`, taken out."""
+    gone = found.where("removed_words > 0").select(
+        F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), F.col("removed").alias("gone_spans"))
     rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     both = rows.join(gone, F.col(at[id_col]).cast("long").eqNullSafe(F.col("gone_id"))
                      & (F.xxhash64(at[text_col]) == F.col("gone_t")), "left").drop("gone_id", "gone_t")
     return both.mapInArrow(lambda it: _without(it, at[text_col]), rows.schema).toDF(*docs.columns)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
+    """docs with the removed words of each text taken out; docs is read several times."""
+    return cut_out(docs, repeats(docs, id_col, text_col, words, k), id_col, text_col)
