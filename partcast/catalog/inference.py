@@ -157,11 +157,11 @@ def model_segment_summary(spark, sf):
 cut AS (SELECT quantile_cont(mae, 0.99) AS c FROM lr), kept AS (SELECT model, segment, mae FROM lr, cut WHERE mae BETWEEN 0 AND c)""", """
 SELECT model, segment, rd6(quantile_cont(mae, 0.25)) AS p25, rd6(quantile_cont(mae, 0.5)) AS p50, rd6(quantile_cont(mae, 0.75)) AS p75 FROM kept GROUP BY ALL"""))
 def mae_distribution(spark, sf):
-    from partcast.operators.quantiles import quantile_columns
-    rows = P.forecast_rows(P.prepared_panel(spark, sf)).select("model", "segment", "mae")
-    cut = quantile_columns(rows, [], "mae", {"c": 0.99}).scalar()
-    kept = rows.where(F.col("mae").between(F.lit(0.0), cut))
-    q = quantile_columns(kept, ["model", "segment"], "mae", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    from partcast.operators.quantiles import cells_of, quantile_columns_of
+    cells = cells_of(P.forecast_rows(P.prepared_panel(spark, sf)), ["model", "segment"], "mae")
+    cut = quantile_columns_of(cells, [], {"c": 0.99}).scalar()
+    kept = cells.where(F.col("_v").between(F.lit(0.0), cut))
+    q = quantile_columns_of(kept, ["model", "segment"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return q.select("model", "segment", r("p25"), r("p50"), r("p75"))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from partcast.functions.resampling import MODULUS, mix_numpy, poisson_numpy
 from partcast.plans.velocity import agreement, coverage
 from partcast.sources.fixtures import calendar_audit, demand_series
 from partcast.operators import bootstrap as B, ordering as O
-from partcast.operators.quantiles import exact_quantiles
+from partcast.operators import quantiles
+from partcast.operators.quantiles import exact_quantiles, quantile_columns
 from partcast.plans.distribution import count_quantiles
 
 
@@ -72,17 +74,40 @@ def test_guarded_corr_is_null_for_a_constant(spark):
     assert df.agg(guarded_corr(F.col("x"), F.col("y"))).first()[0] is None
 
 
-@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
-def test_exact_quantiles_with_narrow_brackets_and_hot_values(spark, accuracy):
+@pytest.mark.parametrize("parts", [1 << 20, 3])
+def test_exact_quantiles_of_hot_close_and_extreme_values(spark, parts, monkeypatch):
     rng = np.random.default_rng(2)
-    x = np.concatenate([np.zeros(3000), rng.lognormal(0, 3, 3000), rng.normal(-5, 1e-3, 3000)])
+    x = np.concatenate([np.zeros(3000), rng.lognormal(0, 3, 3000), rng.normal(-5, 1e-3, 3000), 1 + np.arange(3000) * 2.0 ** -52,
+                        -np.logspace(-300, 300, 500), [5e-324, -5e-324, 1.7e308, -1.7e308]])
     pdf = pd.DataFrame({"g": np.where(np.arange(len(x)) % 3 == 0, "a", "b"), "v": x})
     df = spark.createDataFrame(pdf).repartition(7)
     probs = [0.0, 0.025, 0.5, 0.77, 0.99, 1.0]
-    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["g"], "v", probs, accuracy).collect()}
+    monkeypatch.setattr(quantiles, "_EVEN", quantiles._EVEN.replace(str(1 << 20), str(parts)).replace(str((1 << 20) - 1), str(parts - 1)))
+    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
     for g in "ab":
         for p in probs:
-            assert got[g, p] == pytest.approx(np.quantile(pdf.v[pdf.g == g], p), rel=1e-12, abs=1e-12)
+            assert got[g, p] == pytest.approx(np.quantile(pdf.v[pdf.g == g], p), rel=1e-12, abs=1e-300)
+
+
+def test_exact_quantiles_of_groups_without_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", None), ("a", nan), ("b", 1.0), ("b", None), (None, 2.0), (None, 4.0), ("c", inf), ("c", -inf), ("c", 0.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["g"], "v", [0.0, 0.5, 1.0]).collect()}
+    assert got == {("a", 0.0): None, ("a", 0.5): None, ("a", 1.0): None, ("b", 0.0): 1.0, ("b", 0.5): 1.0, ("b", 1.0): 1.0,
+                   (None, 0.0): 2.0, (None, 0.5): 3.0, (None, 1.0): 4.0, ("c", 0.0): -inf, ("c", 0.5): 0.0, ("c", 1.0): inf}
+    wide = quantile_columns(df, [], "v", {"lo": 0.25, "mid": 0.5}).collect()
+    assert [tuple(r) for r in wide] == [(0.25, 1.5)]
+    assert exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_exact_quantiles_read_their_input_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 3 AS g", "id * 1.5D AS v").write.parquet(str(tmp_path / "t"))
+    out = exact_quantiles(spark.read.parquet(str(tmp_path / "t")), ["g"], "v", [0.25, 0.5])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.split("\n") if re.search(r"\bExchange (hash|range|single)", x) and "ReusedExchange" not in x]
+    assert plan.count("Scan parquet") == 1 and len(dealt) <= 8
 
 
 def test_running_share_with_a_hot_group(spark):
