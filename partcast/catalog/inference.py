@@ -8,7 +8,7 @@ from partcast import config as C
 from partcast.catalog import sql_parts as Q
 from partcast.catalog.costing import DEPLOYED, QROWS, NATIVE, quantile_rows
 from partcast.catalog.registry import REGISTRY
-from partcast.catalog.relational import SAMPLE_SQL
+from partcast.catalog.relational import SAMPLE_SQL, VELOCITY_SQL, velocity_of
 from partcast.catalog.rounding import r
 from partcast.config import CLEAN, MODELS, CostTerms
 from partcast.functions import arrays as A, smoothing as S
@@ -96,7 +96,7 @@ def ordinal_rank_rho(spark, sf):
 @add("segment_abc_rho", Q.query(SC + """,
 g3 AS (SELECT *, segment || '|' || abc AS grp FROM sc UNION ALL SELECT *, segment FROM sc UNION ALL SELECT *, 'all' FROM sc),"""
      + Q.means("g3", "grp", {"mae": "avg(mae)", "cost": "avg(cost)"}) + "," + Q.rho("grp", "mae", "cost"),
-     "SELECT grp, n, rd6(rho) AS rho FROM rho_t WHERE n >= 10 AND m >= 5"))
+     "SELECT grp, n, rd6(rho) AS rho, n >= 10 AND m >= 5 AS enough FROM rho_t"))
 def segment_abc_rho(spark, sf):
     """Cell sums once; segment and overall figures roll up from them."""
     sums = scored(spark, sf).groupBy("segment", "abc", "model").agg(
@@ -104,8 +104,8 @@ def segment_abc_rho(spark, sf):
     g = sums.selectExpr("*", "explode(array(concat(segment, '|', abc), segment, 'all')) AS grp")
     m = g.groupBy("grp", "model").agg(
         F.expr("sum(mae) / sum(n) AS mae"), F.expr("sum(cost) / sum(n) AS cost"), F.expr("sum(n) AS n"))
-    v = N.vectors_of(m, ["grp"], ["mae", "cost"]).where("n >= 10 AND size(models) >= 5")
-    return v.select("grp", "n", r(A.spearman(F.col("mae"), F.col("cost")), 6, "rho"))
+    v = N.vectors_of(m, ["grp"], ["mae", "cost"])
+    return v.select("grp", "n", r(A.spearman(F.col("mae"), F.col("cost")), 6, "rho"), F.expr("n >= 10 AND size(models) >= 5 AS enough"))
 
 
 MECH = SC + "," + Q.grouped() + "," + Q.means("g", "grp", {c: f"avg({c})" for c in ("level", "mae", "cost", "hold_cost", "short_cost")}) + "," + ",".join(
@@ -153,6 +153,25 @@ def model_segment_summary(spark, sf):
     return base.join(med, ["model", "segment"])
 
 
+@add("distributional_summary", Q.query(QROWS + """,
+dl AS (SELECT model, segment, quantiles[4] AS q95, (abs(level - test[1]) + abs(level - test[2]) + abs(level - test[3]) + abs(level - test[4])) / 4 AS mae,
+  sqrt(((level - test[1]) ** 2 + (level - test[2]) ** 2 + (level - test[3]) ** 2 + (level - test[4]) ** 2) / 4) AS rmse FROM qr)""", """
+SELECT model, segment, count(*) AS n, rd6(avg(mae)) AS mae_mean, rd6(median(mae)) AS mae_median, rd6(median(rmse)) AS rmse_median, rd6(median(q95)) AS q95_median FROM dl GROUP BY ALL"""))
+def distributional_summary(spark, sf):
+    """The distributional models per segment, with the median of their 0.95 quantiles."""
+    from partcast.operators.quantiles import exact_quantiles
+    it = S.items("test", 0, H)
+    rows = S.extend(quantile_rows(spark, sf), {
+        "q95": f"quantiles[{C.QUANTILE_LEVELS.index(0.95)}]", "mae": "(" + " + ".join(f"abs(level - {x})" for x in it) + f") / {H}.0D",
+        "rmse": "sqrt((" + " + ".join(f"pow(level - {x}, 2)" for x in it) + f") / {H}.0D)"})
+    names = ("mae", "rmse", "q95")
+    long = rows.selectExpr("model", "segment", "inline(array(" + ", ".join(f"struct('{m}' AS metric, {m} AS v)" for m in names) + "))")
+    med = exact_quantiles(long, ["model", "segment", "metric"], "v", [0.5]).groupBy("model", "segment").agg(
+        *[r(F.expr(f"max(if(metric = '{m}', value, NULL))"), 6, f"{m}_median") for m in names])
+    base = rows.groupBy("model", "segment").agg(F.count("*").alias("n"), r(F.avg("mae"), 6, "mae_mean"))
+    return base.join(med, ["model", "segment"])
+
+
 @add("mae_distribution", Q.query(Q.panel() + "," + Q.forecasts() + "," + Q.long_rows() + """,
 cut AS (SELECT quantile_cont(mae, 0.99) AS c FROM lr), kept AS (SELECT model, segment, mae FROM lr, cut WHERE mae BETWEEN 0 AND c)""", """
 SELECT model, segment, rd6(quantile_cont(mae, 0.25)) AS p25, rd6(quantile_cont(mae, 0.5)) AS p50, rd6(quantile_cont(mae, 0.75)) AS p75 FROM kept GROUP BY ALL"""))
@@ -194,7 +213,7 @@ THR = ", ".join(str(t) for t in C.PRICE_THRESHOLDS)
 @add("price_threshold_sweep", Q.query(SC + f""",
 g AS (SELECT sc.*, t AS threshold, CASE WHEN price >= t THEN 'above' ELSE 'below' END AS side FROM sc CROSS JOIN (SELECT unnest([{THR}]) AS t)),"""
      + Q.means("g", "threshold, side", {"mae": "avg(mae)", "cost": "avg(cost)"}) + "," + Q.rho("threshold, side", "mae", "cost"), """
-SELECT threshold::INTEGER AS threshold, side, n, rd6(rho) AS rho FROM rho_t WHERE n >= 30"""))
+SELECT threshold::INTEGER AS threshold, side, n, rd6(rho) AS rho, n >= 30 AS enough FROM rho_t"""))
 def price_threshold_sweep(spark, sf):
     """One pass: price cells between thresholds are summed, then accumulated per threshold."""
     cell = f"size(filter(array({THR}), t -> price >= t))"
@@ -204,8 +223,8 @@ def price_threshold_sweep(spark, sf):
         "*", "if(cell > i, 'above', 'below') AS side")
     m = fan.groupBy("threshold", "side", "model").agg(
         F.expr("sum(mae) / sum(n) AS mae"), F.expr("sum(cost) / sum(n) AS cost"), F.expr("sum(n) AS n"))
-    v = N.vectors_of(m, ["threshold", "side"], ["mae", "cost"]).where("n >= 30")
-    return v.select("threshold", "side", "n", r(A.spearman(F.col("mae"), F.col("cost")), 6, "rho"))
+    v = N.vectors_of(m, ["threshold", "side"], ["mae", "cost"])
+    return v.select("threshold", "side", "n", r(A.spearman(F.col("mae"), F.col("cost")), 6, "rho"), F.expr("n >= 30 AS enough"))
 
 
 @add("price_band_rho", Q.query(SC + """,
@@ -404,15 +423,16 @@ def bootstrap_seed_sweep(spark, sf):
 
 
 @add("bootstrap_cell_rho", Q.query(SC + "," + Q.weights("sc", BREP) + """,
+pt AS (SELECT segment, abc, count(DISTINCT (item_id, site_id)) AS n FROM sc GROUP BY ALL),
 bms AS (SELECT segment, abc, b, model, rd6(sum(w * mae) / sum(w)) AS mae, rd6(sum(w * cost) / sum(w)) AS cost, count(*) AS n FROM bw GROUP BY ALL HAVING sum(w) > 0),"""
-     + Q.rho("segment, abc, b", "mae", "cost", "bms"), "SELECT segment, abc, rd6(quantile_cont(rho, 0.025)) AS lo, rd6(quantile_cont(rho, 0.975)) AS hi, count(rho) AS replicates FROM rho_t WHERE n >= 30 GROUP BY ALL HAVING count(rho) >= 10"))
+     + Q.rho("segment, abc, b", "mae", "cost", "bms"), "SELECT segment, abc, rd6(quantile_cont(rho, 0.025)) AS lo, rd6(quantile_cont(rho, 0.975)) AS hi, count(rho) AS replicates, any_value(pt.n) >= 30 AND count(rho) >= 10 AS enough FROM rho_t JOIN pt USING (segment, abc) GROUP BY ALL"))
 def bootstrap_cell_rho(spark, sf):
     models = list(MODELS)
     wide = I.wide_metrics(scored(spark, sf), models, ["mae", "cost"], ["segment", "abc"])
-    big = wide.groupBy("segment", "abc").agg(F.count("*").alias("n")).where("n >= 30").select("segment", "abc")
+    size = wide.groupBy("segment", "abc").agg(F.count("*").alias("n"))
     means = I.bootstrap_means(wide, models, ["mae", "cost"], BREP, ["segment", "abc"])
-    ci = I.bootstrap_rho(means, models, ["segment", "abc"]).join(big, ["segment", "abc"])
-    return ci.where("replicates >= 10").select("segment", "abc", r("lo"), r("hi"), "replicates")
+    ci = I.bootstrap_rho(means, models, ["segment", "abc"]).join(size, ["segment", "abc"])
+    return ci.select("segment", "abc", r("lo"), r("hi"), "replicates", F.expr("n >= 30 AND replicates >= 10 AS enough"))
 
 
 @add("bootstrap_deployed_gap", Q.query(SC + "," + DEPLOYED + """,
@@ -581,9 +601,11 @@ def scaled_error_tau(spark, sf):
 
 @add("diebold_mariano", Q.query(Q.panel() + "," + Q.forecasts() + "," + Q.long_rows() + """,
 er AS (SELECT item_id, site_id, model, h, (level - test[h]) * (level - test[h]) AS e FROM lr, (SELECT unnest(range(1, 5)) AS h)),
-dm AS (SELECT a.model AS a, b.model AS b, count(*) AS n, avg(a.e - b.e) / (stddev_samp(a.e - b.e) / sqrt(count(*))) AS stat FROM er a JOIN er b ON a.item_id = b.item_id AND a.site_id = b.site_id AND a.h = b.h AND a.model < b.model GROUP BY ALL)""", """
-SELECT a, b, n, rd4(stat) AS stat, (CASE WHEN abs(stat) > 1.959963984540054::DOUBLE THEN sign(stat) ELSE 0 END)::INTEGER AS sign FROM dm
-UNION ALL SELECT b, a, n, rd4(-stat), (CASE WHEN abs(stat) > 1.959963984540054::DOUBLE THEN -sign(stat) ELSE 0 END)::INTEGER FROM dm"""))
+dm AS (SELECT a.model AS a, b.model AS b, count(*) AS n, avg(a.e - b.e) / (stddev_samp(a.e - b.e) / sqrt(count(*))) AS stat FROM er a JOIN er b ON a.item_id = b.item_id AND a.site_id = b.site_id AND a.h = b.h AND a.model < b.model GROUP BY ALL),
+dv AS (SELECT *, sqrt((n - 1.5::DOUBLE) * ln(1 + stat * stat / (n - 1))) AS z, 48 * (n - 1.5::DOUBLE) * (n - 1.5::DOUBLE) AS k FROM dm),
+sg AS (SELECT a, b, n, stat, CASE WHEN z + (z ** 3 + 3 * z) / k - (4 * z ** 7 + 33 * z ** 5 + 240 * z ** 3 + 855 * z) / (10 * k * (k + 0.8::DOUBLE * z ** 4 + 100))
+  > 1.959963984540054::DOUBLE THEN sign(stat) ELSE 0 END AS s FROM dv)""", """
+SELECT a, b, n, rd4(stat) AS stat, s::INTEGER AS sign FROM sg UNION ALL SELECT b, a, n, rd4(-stat), (-s)::INTEGER FROM sg"""))
 def diebold_mariano(spark, sf):
     d = N.dm_matrix(P.forecast_rows(P.prepared_panel(spark, sf)), CLEAN)
     return d.select("a", "b", "n", r("stat", 4), "sign")
@@ -625,12 +647,14 @@ def zero_bucket_decomposition(spark, sf):
     return d.select("bucket", "n", r("delta_mean"), r("delta_sum", 4), r("pct", 4))
 
 
-@add("exclude_velocity_d", Q.query(SC + """,
-vd AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 17 = 0 OR p_partkey % 37 = 0 THEN 'D' WHEN p_size <= 10 THEN 'A' WHEN p_size <= 25 THEN 'B' WHEN p_size <= 40 THEN 'C' END AS v FROM part)""", """
-SELECT model, rd3(c) AS cost_full, rd3(cd) AS cost_no_d, rd4(100 * (cd - c) / c) AS delta_pct FROM (SELECT model, avg(cost) AS c, avg(CASE WHEN v <> 'D' THEN cost END) AS cd FROM sc LEFT JOIN vd USING (item_id) GROUP BY model)"""))
+@add("exclude_velocity_d", Q.query(SC + "," + VELOCITY_SQL.removeprefix("WITH "), """
+SELECT model, n_d, rd3(c) AS cost_full, rd3(cd) AS cost_no_d, rd4(100 * (cd - c) / c) AS delta_pct FROM (
+  SELECT model, count_if(velocity = 'D') AS n_d, avg(cost) AS c, avg(CASE WHEN velocity <> 'D' THEN cost END) AS cd
+  FROM sc LEFT JOIN vel ON item_id = part_id AND site_id = ship_id GROUP BY model)"""))
 def exclude_velocity_d(spark, sf):
-    v = X.table(spark, sf, "part").selectExpr("p_partkey AS item_id", "CASE WHEN p_partkey % 17 = 0 OR p_partkey % 37 = 0 THEN 'D' WHEN p_size <= 10 THEN 'A' WHEN p_size <= 25 THEN 'B' WHEN p_size <= 40 THEN 'C' END AS v")
-    p = P.prepared_panel(spark, sf).join(v, "item_id", "left")
+    """Do the parts in velocity class D, as `velocity` computes it from the movements, carry the result?"""
+    v = velocity_of(spark, sf).selectExpr("part_id AS item_id", "ship_id AS site_id", "velocity AS v")
+    p = P.prepared_panel(spark, sf).join(v, KEYS, "left")
     rows = with_costs(replay(with_normal_policy(P.forecast_rows(p, keep=[*P.ATTRS, "v"])), H))
-    d = rows.groupBy("model").agg(F.avg("cost").alias("c"), F.expr("avg(if(v != 'D', cost, NULL)) AS cd"))
-    return d.select("model", r("c", 3, "cost_full"), r("cd", 3, "cost_no_d"), r("100.0D * (cd - c) / c", 4, "delta_pct"))
+    d = rows.groupBy("model").agg(F.expr("count_if(v = 'D') AS n_d"), F.avg("cost").alias("c"), F.expr("avg(if(v != 'D', cost, NULL)) AS cd"))
+    return d.select("model", "n_d", r("c", 3, "cost_full"), r("cd", 3, "cost_no_d"), r("100.0D * (cd - c) / c", 4, "delta_pct"))

@@ -828,14 +828,14 @@ v2 AS (SELECT v1.*, CASE WHEN base = 'A' AND NOT recent THEN 'B' ELSE base END A
 vel AS (SELECT *, CASE WHEN is_d THEN 'D' WHEN heir_class IS NULL THEN after_recent ELSE least(after_recent, heir_class) END AS velocity FROM v2)"""
 
 
-def _velocity(spark, sf):
+def velocity_of(spark, sf):
     return V.velocity(X.transaction_log(spark, sf), X.parts_master(spark, sf), AS_OF)
 
 
 @add("velocity_classes", VELOCITY_SQL + """
 SELECT part_id, ship_id, n, rd8(share) AS share, base, recent, after_recent, heir_class, is_d, velocity FROM vel""")
 def velocity_classes(spark, sf):
-    return _velocity(spark, sf).select(
+    return velocity_of(spark, sf).select(
         "part_id", "ship_id", "n", r("share", 8), "base", "recent", "after_recent", "heir_class", "is_d", "velocity")
 
 
@@ -843,11 +843,11 @@ def velocity_classes(spark, sf):
 SELECT coalesce(legacy_velocity, '(none)') AS legacy, count_if(velocity = 'A') AS A, count_if(velocity = 'B') AS B,
   count_if(velocity = 'C') AS C, count_if(velocity = 'D') AS D FROM vel GROUP BY ALL""")
 def velocity_confusion(spark, sf):
-    return V.coverage(_velocity(spark, sf), X.parts_master(spark, sf))
+    return V.coverage(velocity_of(spark, sf), X.parts_master(spark, sf))
 
 
 @add("velocity_agreement", VELOCITY_SQL + """
 SELECT count(*) AS n, count(legacy_velocity) AS n_legacy, rd6(avg(CASE WHEN legacy_velocity IS NULL THEN NULL WHEN legacy_velocity = velocity THEN 1.0::DOUBLE ELSE 0 END)) AS agree,
   count_if(legacy_velocity IS NULL) AS gained FROM vel""")
 def velocity_agreement(spark, sf):
-    return V.agreement(_velocity(spark, sf), X.parts_master(spark, sf)).select("n", "n_legacy", r("agree"), "gained")
+    return V.agreement(velocity_of(spark, sf), X.parts_master(spark, sf)).select("n", "n_legacy", r("agree"), "gained")

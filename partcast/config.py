@@ -33,6 +33,7 @@ SERVICE_SCENARIOS = (
     ("default", 0.99, 0.97, 0.95),
     ("conservative", 0.99, 0.99, 0.99),
     ("aggressive", 0.90, 0.90, 0.90),
+    ("highly_tiered", 0.995, 0.97, 0.90),
     ("flat95", 0.95, 0.95, 0.95),
 )
 LEAD_CV_GRID = (0.1, 0.3, 0.5)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from partcast import config as C
 from partcast.config import BAND_PROBS
 from partcast.functions import arrays as A, smoothing as S
-from partcast.functions.guarded import snap, t_two_sided_p
+from partcast.functions.guarded import normal_deviate, snap, t_two_sided_p
 from partcast.operators.quantiles import quantile_columns
 from partcast.plans.costing import regime
 from partcast.sources.fixtures import KEYS
@@ -154,8 +154,9 @@ def dm_matrix(rows: DataFrame, window: C.Window, by: list[str] = ()) -> DataFram
     half = pairs.groupBy("a", "b").agg(
         F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count("*").alias("n"))
     half = half.withColumn("stat", F.expr("if(sd > 0, mean / (sd / sqrt(n)), 0.0D)"))
-    # pooled samples are large: the t tail equals the normal tail to displayed precision
-    half = half.withColumn("sign", F.expr("if(abs(stat) > 1.959963984540054D, CAST(signum(stat) AS INT), 0)"))
+    # p < 0.05 on n - 1 degrees of freedom: where the normal deviate of the same tail is beyond its 0.975 quantile
+    beyond = normal_deviate(F.abs("stat"), F.col("n") - 1.0) > 1.959963984540054
+    half = half.withColumn("sign", F.when((F.col("n") > 1) & beyond, F.signum("stat").cast("int")).otherwise(0))
     flip = half.selectExpr("b AS a", "a AS b", "n", "-stat AS stat", "-sign AS sign")
     return half.select("a", "b", "n", "stat", "sign").unionByName(flip)
 
