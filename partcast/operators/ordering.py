@@ -31,16 +31,25 @@ def key_hash(*cols: str, seed: int | None = None) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def running_share(df: DataFrame, group: str, count: str, key: str, digits: int = 2) -> DataFrame:
+def with_buckets(rows: DataFrame, cell: list[str], h: str = "_h") -> DataFrame:
+    """Add _b, an order-preserving bucket of the hex digest h: the square root of a cell's rows has it as many buckets.
+
+    A cell of n rows so becomes about sqrt(n) buckets of sqrt(n) rows, and neither the ordering inside a bucket
+    nor the prefix sums over the buckets meets more than that, whatever share of all rows the cell holds.
+    """
+    sizes = rows.groupBy(*cell).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_parts"))
+    place = F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") / float(16 ** 13)
+    return join_by(rows, sizes, cell).withColumn("_b", F.floor(place * F.col("_parts"))).drop("_parts")
+
+
+def running_share(df: DataFrame, group: str, count: str, key: str) -> DataFrame:
     """Add group_total, running and share, ordered by count descending.
 
-    ``count`` is an integer activity count.  Cells are (group, count, hash
-    bucket of the key); a group with n movements has at most sqrt(2n)
-    different counts, so the cell table stays small, and the largest ordered
-    unit is one bucket of one count.
+    ``count`` is an integer activity count.  Cells are (group, count); a group
+    with n movements has at most sqrt(2n) different counts.  Inside a cell rows
+    are ordered by the hash of their key, bucket by bucket.
     """
-    rows = df.withColumn("_h", key_hash(key))
-    rows = rows.withColumn("_b", F.substring("_h", 1, digits))
+    rows = with_buckets(df.withColumn("_h", key_hash(key)), [group, count])
     cells = rows.groupBy(group, count, "_b").agg(F.sum(count).alias("_cell"))
     ahead = W.partitionBy(group).orderBy(F.col(count).desc(), "_b").rowsBetween(
         W.unboundedPreceding, -1)
@@ -57,28 +66,20 @@ def running_share(df: DataFrame, group: str, count: str, key: str, digits: int =
         "_h", "_b", "_rn", "_before")
 
 
-def stratified_sample(
-    df: DataFrame, strata: list[str], key: list[str], target: int, seed: int = 42, digits: int = 3,
-) -> DataFrame:
+def stratified_sample(df: DataFrame, strata: list[str], key: list[str], target: int, seed: int = 42) -> DataFrame:
     """Equal allocation: max(1, ceil(target / strata)) rows per stratum.
 
     Rows are taken in hash order.  Bucket counts decide which hash buckets can
     hold a sampled row; only those rows reach the per-stratum ordering, which
-    therefore sees about cap + stratum/16^digits rows.
+    therefore sees about cap + sqrt(stratum) rows.
     """
-    rows = df.withColumn("_h", key_hash(*key, seed=seed))
-    rows = rows.withColumn("_b", F.substring("_h", 1, digits))
+    rows = with_buckets(df.withColumn("_h", key_hash(*key, seed=seed)), strata)
     counts = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
     ahead = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    # the cell table holds strata x 16^digits rows at most, whatever the data size
-    everything = W.partitionBy(F.lit(0))
-    counts = counts.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)),
-        "_first": F.row_number().over(W.partitionBy(*strata).orderBy("_b")) == 1,
-    }).withColumn("_cells", F.sum(F.col("_first").cast("int")).over(everything))
-    open_cells = counts.withColumn(
-        "_cap", F.greatest(F.lit(1), F.ceil(F.lit(float(target)) / F.col("_cells")))
-    ).where("_before < _cap").select(*strata, "_b", "_cap")
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    cells = df.select(*strata).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    open_cells = counts.withColumn("_cap", F.greatest(F.lit(1), F.ceil(F.lit(float(target)) / cells))).where(
+        "_before < _cap").select(*strata, "_b", "_cap")
     near = join_by(rows, open_cells, [*strata, "_b"])
     order = W.partitionBy(*strata).orderBy("_h", *key)
     return (
@@ -92,20 +93,36 @@ def random_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> Data
     return df.withColumn("_h", key_hash(*key, seed=seed)).orderBy("_h", *key).limit(n).drop("_h")
 
 
-def label_codes(df: DataFrame, col: str, missing: str = "__NA__", prefix: int = 2) -> DataFrame:
+def with_prefix(values: DataFrame, rounds: int = 3, step: int = 2) -> DataFrame:
+    """Add _p, a leading part of value: values with the same part follow each other, and few share one.
+
+    Each round looks at the parts that more than the square root of all values
+    share, and lengthens them past what their smallest and largest value have
+    in common; so long common beginnings (paths, codes) cost no round.
+    """
+    total = values.agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("n")).scalar()
+    now = values.withColumn("_p", F.lit(""))
+    for _ in range(rounds):
+        parts = now.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        common = "size(filter(sequence(1, greatest(least(length(_lo), length(_hi)), 1)), i -> left(_lo, i) = left(_hi, i)))"
+        cut = parts.select("_p", F.when(F.col("_n") > total, F.expr(f"{common} + {step}")).otherwise(F.length("_p")).alias("_cut"))
+        now = now.join(cut, "_p").withColumn("_p", F.expr("left(value, _cut)")).drop("_cut")
+    return now
+
+
+def label_codes(df: DataFrame, col: str, missing: str = "__NA__") -> DataFrame:
     """Distinct value -> 0..K-1 in sorted order, missing values included.
 
-    Codes are local positions within a leading-characters bucket plus the
-    bucket's offset.
+    Codes are local positions among the values that share a leading part (see
+    `with_prefix`) plus the part's offset.
     """
-    values = df.select(F.coalesce(F.col(col).cast("string"), F.lit(missing)).alias("value")).distinct()
-    values = values.withColumn("_b", F.substring("value", 1, prefix))
-    sizes = values.groupBy("_b").agg(F.count("*").alias("_n"))
-    ahead = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_b").orderBy("value")
+    values = with_prefix(df.select(F.coalesce(F.col(col).cast("string"), F.lit(missing)).alias("value")).distinct())
+    sizes = values.groupBy("_p").agg(F.count("*").alias("_n"))
+    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("_p").orderBy("value")
     return (
-        values.withColumn("_rn", F.row_number().over(inside)).join(starts, "_b")
+        values.withColumn("_rn", F.row_number().over(inside)).join(starts, "_p")
         .select("value", (F.col("_start") + F.col("_rn") - 1).alias("code"))
     )
 

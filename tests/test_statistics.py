@@ -89,6 +89,24 @@ def test_exact_quantiles_of_hot_close_and_extreme_values(spark, parts, monkeypat
             assert got[g, p] == pytest.approx(np.quantile(pdf.v[pdf.g == g], p), rel=1e-12, abs=1e-300)
 
 
+def t_tail(t, df):
+    """Twice the integral of the density beyond |t|, by Simpson's rule over u = 1 / x; math.lgamma only."""
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) if df < 1e5 else 1 / math.sqrt(2 * math.pi) * (1 - 1 / (4 * df))
+    u = np.linspace(0, 1, 400_001)[1:] / abs(t)
+    f = np.append(0 if df > 1.0 else c * df ** ((df + 1) / 2) if df == 1.0 else np.nan, c * np.exp(-(df + 1) / 2 * np.log1p(1 / (u * u * df))) / (u * u))
+    h = 1 / abs(t) / 400_000
+    return 2 * h / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum())
+
+
+def test_t_tail_for_any_degrees_of_freedom(spark):
+    points = [(df, t) for df in (1.0, 2.0, 2.5, 7.0, 30.25, 150.0, 199.5, 200.0, 200.5, 1e3, 12345.6, 1e6, 1e9) for t in (0.1, -0.9, 1.5, 1.96, 2.4, -3.0, 5.0, 8.0)]
+    df = spark.createDataFrame(points, "df double, t double").select("df", "t", t_two_sided_p(F.col("t"), F.col("df")).alias("p"))
+    for r in df.collect():
+        assert r.p == pytest.approx(t_tail(r.t, r.df), rel=2e-7), r
+    odd = spark.createDataFrame([(3.0, 0.0), (0.0, 1.0), (None, 1.0), (5.0, None)], "df double, t double")
+    assert [r[0] for r in odd.select(t_two_sided_p(F.col("t"), F.col("df"))).collect()] == [1.0, None, None, None]
+
+
 def test_exact_quantiles_of_groups_without_values(spark):
     inf, nan = float("inf"), float("nan")
     rows = [("a", None), ("a", nan), ("b", 1.0), ("b", None), (None, 2.0), (None, 4.0), ("c", inf), ("c", -inf), ("c", 0.0)]
@@ -139,6 +157,25 @@ def test_label_codes(spark):
     assert got == {v: i for i, v in enumerate(sorted(["__NA__", "b", "ab", "a", "zz"]))}
 
 
+def test_label_codes_of_long_common_beginnings(spark):
+    rng = np.random.default_rng(8)
+    names = [f"https://parts.example/{'x' * 40}/{int(i):06d}" for i in rng.integers(0, 10 ** 6, 3000)] + ["", "h", "https", "zz", "é", "\U0001F600"]
+    got = {r["value"]: r["code"] for r in O.label_codes(spark.createDataFrame([(n,) for n in names], "c string").repartition(4), "c").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(set(names), key=lambda v: v.encode()))}
+    values = spark.createDataFrame([(n,) for n in sorted(set(names))], "value string")
+    sizes = [r["count"] for r in O.with_prefix(values).groupBy("_p").count().collect()]
+    assert max(sizes) <= 2 * len(set(names)) ** 0.5
+
+
+def test_buckets_split_a_hot_group_evenly(spark):
+    df = spark.range(40_000).selectExpr("id", "if(id % 2 = 0, 0, id % 97) AS g").withColumn("_h", O.key_hash("id"))
+    sizes = O.with_buckets(df, ["g"]).groupBy("g", "_b").count().toPandas()
+    hot = sizes[sizes.g == 0]["count"]
+    assert len(hot) <= 146 and hot.max() <= 2 * hot.median()
+    order = O.with_buckets(df, ["g"]).where("g = 0").orderBy("_h").toPandas()
+    assert order._b.is_monotonic_increasing
+
+
 def test_mode_and_dedupe(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, "a"), (1, None), (2, None)], "k int, v string")
     assert [tuple(r) for r in O.mode_of(df, ["k"], ["v"]).collect()] == [(1, "a")]
