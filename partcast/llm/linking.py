@@ -86,17 +86,19 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
     of a one-column table e.  Frequencies are those among the candidates: any
     global order is right, and this one leaves the shortest lists.
     """
-    sets = scratch.keep(fetch(scratch.keep(candidates)))
+    wanted = scratch.keep(candidates)
+    sets = scratch.keep(fetch(wanted))
+    scratch.drop(wanted)
     if lists is None:
         lists = scratch.keep(in_shared_lists(scratch.keep(postings(sets, percent))))
     label = None
     for r in range(star_rounds + 1):
-        now = lists.withColumn("label", F.col("e"))
+        now, mine = lists.withColumn("label", F.col("e")), None
         if label is not None:
             now = (lists.join(label.withColumnRenamed("node", "e"), "e", "left")
                    .withColumn("label", F.coalesce("label", "e")))
             mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            now = scratch.keep(now.join(mixed.select("key"), "key"))
+            now = mine = scratch.keep(now.join(mixed.select("key"), "key"))
         if r < star_rounds:
             now = now.withColumn("block", F.floor(
                 F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(r % 2 / 2)))
@@ -109,6 +111,8 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
         pairs = (both.where(F.col("m.label") != F.col("l.label")).where(_fits("m", "l", percent))
                  .select(F.col("l.e").alias("a"), F.col("m.e").alias("b")).distinct())
         found = scratch.keep(verify(pairs, sets, percent))
+        if mine is not None:
+            scratch.drop(mine)
         if r and found.isEmpty():
             continue
         # the last round's groups are stars already: they and the new pairs reach what all pairs so far do

