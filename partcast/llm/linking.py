@@ -70,6 +70,18 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
             .selectExpr("key", "e", "n", "int(s - i) as left", "meets / n as shared"))
 
 
+def bounded(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """lists without the sets that no other can be similar to, left as the most that a partner can share beside the key.
+
+    Members that only one set has can't be shared: copies with a change each, however many of one text there are,
+    are told apart by that before any two of them meet.
+    """
+    tokens = sets.select(F.explode("members").alias("member"), "e")
+    common = tokens.groupBy("member").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo <> hi").select("member")
+    most = tokens.join(common, "member").groupBy("e").agg(F.count(F.lit(1)).alias("s"))
+    return lists.join(most, "e").where(f"100 * s >= {percent} * n").withColumn("left", F.expr("int(s - 1)")).drop("s")
+
+
 def in_shared_lists(listed: DataFrame) -> DataFrame:
     """(key, e, ...): the rows whose key lists more than one set."""
     shared = listed.groupBy("key").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo <> hi")
@@ -80,7 +92,8 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
            percent: int = PERCENT, star_rounds: int = 3, lists: DataFrame | None = None) -> DataFrame:
     """candidates (e) -> (e, label), for sets that are similar to another one.
 
-    Sets meet in the lists of their prefix or, where lists (key, e, n, left, shared) are given, in those.
+    Sets meet in the lists of their prefix or, where a kept table lists (key, e, n, left, shared) is given, in those;
+    that table is removed.
 
     label is the smallest e of the group.  fetch gives (e, members) for the sets
     of a one-column table e.  Frequencies are those among the candidates: any
@@ -91,6 +104,9 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
     scratch.drop(wanted)
     if lists is None:
         lists = scratch.keep(in_shared_lists(scratch.keep(postings(sets, percent))))
+    else:
+        whole, lists = lists, scratch.keep(bounded(lists, sets, percent))
+        scratch.drop(whole)
     label = None
     for r in range(star_rounds + 1):
         now, mine = lists.withColumn("label", F.col("e")), None

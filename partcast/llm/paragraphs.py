@@ -38,7 +38,7 @@ from partcast.llm.scratch import Scratch
 from partcast.llm.suffixes import FOUND, by_text, cut_out, minimisers
 
 K, WORDS, WINDOW, GRAM = 5, 41, 15, 8
-RECALL, HASHES = 0.95, 24
+RECALL, HASHES = 0.95, 16
 
 
 def tune(percent: int, recall: float, hashes: int) -> tuple[int, int]:
