@@ -88,26 +88,24 @@ FROM rp LEFT JOIN rho_t USING (arm, label, grp) GROUP BY arm, label, grp"""
 ar AS (SELECT arms.*, hi FROM arms JOIN (SELECT arm, item_id, site_id, avg(hold_cost) >= avg(short_cost) AS hi FROM arms GROUP BY ALL) USING (arm, item_id, site_id)),"""
     + ARM_GROUPS + ARM_RHO, ARM_ENDS))
 def grid_inference(spark, sf):
-    rows = K.arm_rows(P.prepared_panel(spark, sf, "part"))
-    return ends(V.arms_rho(rows, ARM_NAMES, FEW, draw=R.portable_weights), "arm", "label", "grp", "n")
+    series = K.arm_series(P.prepared_panel(spark, sf, "part"), ("mae", "cost"))
+    return ends(V.arms_rho(series, ARM_NAMES, FEW, draw=R.portable_weights), "arm", "label", "grp", "n")
 
 
 @add("grid_inference_2000")
 def grid_inference_2000(spark, sf):
-    return ends(V.arms_rho(K.arm_rows(P.prepared_panel(spark, sf)), ARM_NAMES, 2_000), "arm", "label", "grp", "n")
+    return ends(V.arms_rho(K.arm_series(P.prepared_panel(spark, sf), ("mae", "cost")), ARM_NAMES, 2_000), "arm", "label", "grp", "n")
 
 
 def information_arms(panel):
-    """The comparison table before and after the last update of the smoothers, as two arms."""
-    from pyspark.sql import Window
-    out = None
-    for name, equal in (("base", False), ("equal_info", True)):
-        per = Window.partitionBy(*KEYS)
-        rows = P.scored(panel, equal_info=equal).withColumn("realised", F.when(
-            F.avg("hold_cost").over(per) >= F.avg("short_cost").over(per), "holding").otherwise("stockout"))
-        rows = rows.select(F.lit(name).alias("arm"), "model", *KEYS, "price", "mae", "cost", "realised")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The comparison table before and after the last update of the smoothers, as two arms of a series row."""
+    both, metrics = None, ["mae", "cost", "hold_cost", "short_cost"]
+    for i, equal in enumerate((False, True)):
+        both = P.with_scores(panel if both is None else both, metrics, f"_s{i}", equal_info=equal)
+    held = lambda i: " + ".join(f"coalesce(get(_s{i}.hold_cost, {m}), 0.0D)" for m in range(len(MODELS)))
+    arms = ", ".join(f"struct('{name}' AS arm, _s{i}.mae AS mae, _s{i}.cost AS cost, if({held(i)} >= "
+                     f"{held(i).replace('hold_cost', 'short_cost')}, 'holding', 'stockout') AS realised)" for i, name in enumerate(INFO))
+    return both.selectExpr(*KEYS, "price", f"inline(array({arms}))")
 
 
 INFO = ["base", "equal_info"]
@@ -118,8 +116,8 @@ ab AS (SELECT 'base' AS arm, * FROM sc_a UNION ALL SELECT 'equal_info', * FROM s
 ar AS (SELECT ab.*, hi FROM ab JOIN (SELECT arm, item_id, site_id, avg(hold_cost) >= avg(short_cost) AS hi FROM ab GROUP BY ALL) USING (arm, item_id, site_id)),"""
     + ARM_GROUPS + ARM_RHO, ARM_ENDS))
 def information_set_rho(spark, sf):
-    rows = information_arms(P.prepared_panel(spark, sf, "part"))
-    return ends(V.arms_rho(rows, INFO, FEW, draw=R.portable_weights), "arm", "label", "grp", "n")
+    series = information_arms(P.prepared_panel(spark, sf, "part"))
+    return ends(V.arms_rho(series, INFO, FEW, draw=R.portable_weights), "arm", "label", "grp", "n")
 
 
 @add("information_set_rho_2000")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from partcast import config as C
 from partcast.config import CLEAN, CostTerms, Window
@@ -10,11 +10,10 @@ from partcast.functions import smoothing as S
 from partcast.functions.guarded import normal_quantile
 from partcast.functions.resampling import uniform_sql
 from partcast.operators.bootstrap import UNIT
-from partcast.operators.policy import (
-    by_tier, initial_stock, with_deployed_policy, with_normal_policy, with_quantile_policy,
-)
+from partcast.operators.policy import by_tier, service_z, with_deployed_policy, with_normal_policy, with_quantile_policy
 from partcast.operators.replay import replay, with_costs
-from partcast.plans.compare import forecast_rows
+from partcast.operators.scoring import arms_udf
+from partcast.plans.compare import by_model
 from partcast.sources.fixtures import KEYS
 
 
@@ -75,34 +74,28 @@ def deployed_replay(panel: DataFrame, deployed: DataFrame, window: Window = CLEA
     return with_costs(replay(df, window.horizon), terms)
 
 
-def arm_rows(panel: DataFrame, models: tuple[str, ...] = C.MODELS) -> DataFrame:
-    """The nine specification arms: train/test windows x opening stock.
+ARM_METRICS = ("mae", "cost", "hold_cost", "short_cost", "order_cost", "n_orders", "fill")
 
-    Arms that share a window share forecasts and policy; opening stocks fan
-    out after the policy.  One uniform draw per series places every model at
-    the same point of its ordering cycle.
+
+def arm_series(panel: DataFrame, metrics: tuple[str, ...] = ARM_METRICS, arms=C.ARMS, models: tuple[str, ...] = C.MODELS,
+               terms: CostTerms = CostTerms()) -> DataFrame:
+    """The specification arms (train/test windows x opening stock), a row per series and arm: arrays over the models.
+
+    Arms that share a window share forecasts and policy.  One uniform draw per
+    series places every model at the same point of its ordering cycle.  The
+    realised label says which cost prevails on average over the models.
     """
-    out = []
-    for win in dict.fromkeys((a[1], a[2], a[3]) for a in C.ARMS):
-        w = Window(*win)
-        arms = [a for a in C.ARMS if (a[1], a[2], a[3]) == win]
-        rows = with_normal_policy(forecast_rows(panel, w, models, equal_info=True))
-        rows = S.extend(rows, uniform_sql(UNIT, 42)).drop("_h0", "_h1", "_h2", "_h3", "_h4")
-        stocks = ", ".join(f"struct('{a[0]}' AS arm, {initial_stock(a[4])} AS opening)" for a in arms)
-        rows = rows.selectExpr("*", f"inline(array({stocks}))")
-        done = with_costs(replay(rows, w.horizon, start="opening"))
-        # the realised label averages the bounded set of models of one series,
-        # whose rows still sit together: no exchange
-        per = W.partitionBy(*KEYS, "arm")
-        done = done.withColumn("realised", F.when(
-            F.avg("hold_cost").over(per) >= F.avg("short_cost").over(per), "holding").otherwise("stockout"))
-        out.append(done.select(
-            "arm", "model", *KEYS, "segment", "price", "mae", "cost", "hold_cost", "short_cost",
-            "order_cost", "n_orders", "fill", "test_demand", "realised"))
-    df = out[0]
-    for other in out[1:]:
-        df = df.unionByName(other)
-    return df
+    done = S.extend(panel, uniform_sql(UNIT, 42)).withColumn("_s", arms_udf(metrics, list(arms), models, terms)(
+        "y", "sba_alpha", "ses_alpha", "price", "lead_days", "lead_q", F.expr(service_z(terms)), "u"))
+    per = ", ".join(
+        f"struct('{a[0]}' AS arm, " + ", ".join(f"_s.{m}_{i} AS {m}" for m in metrics)
+        + f", if(_s.holding_{i} > 0, 'holding', 'stockout') AS realised)" for i, a in enumerate(arms))
+    return done.selectExpr(*KEYS, "segment", "price", f"inline(array({per}))")
+
+
+def arm_rows(panel: DataFrame, metrics: tuple[str, ...] = ARM_METRICS, models: tuple[str, ...] = C.MODELS) -> DataFrame:
+    """:func:`arm_series` with a row per model."""
+    return by_model(arm_series(panel, metrics, models=models), list(metrics), ["arm", *KEYS, "segment", "price", "realised"], models)
 
 
 def arm_diagnostics(rows: DataFrame) -> DataFrame:

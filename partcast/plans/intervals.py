@@ -124,23 +124,18 @@ def price_localization(panel: DataFrame, rows_of, replicates: int, seed: int = 4
 
 # -- arms
 
-def arms_rho(rows: DataFrame, arms: list[str], replicates: int, seed: int = 42, draw=R.quick_weights) -> DataFrame:
+def arms_rho(series: DataFrame, arms: list[str], replicates: int, seed: int = 42, draw=R.quick_weights) -> DataFrame:
     """(arm, label, grp, n, point, lo, hi, p_le_zero, replicates, enough): rank correlation per arm, over all series and per
     regime, by price (fixed) and by which cost prevails in that arm (realised).
 
-    rows: arm, model, keys, price, mae, cost, realised.  All arms of a series share its weights; the realised label is the
-    arm's own, so a replicate decides with it which series its regimes hold.
+    series: keys, arm, price, realised, and mae and cost as arrays over the models; the arms of a series side by side share
+    its weights.  The realised label is the arm's own, so a replicate decides with it which series its regimes hold.
     """
     m, place = len(MODELS), {a: i for i, a in enumerate(arms)}
     number = "CASE arm " + " ".join(f"WHEN '{a}' THEN {i}" for a, i in place.items()) + " END"
-    series = (rows.repartition(*KEYS).groupBy(*KEYS, "arm")
-              .agg(F.first("price").alias("price"), F.first("realised").alias("realised"),
-                   F.array_sort(F.collect_list(F.struct("model", "mae", "cost"))).alias("v"))
-              .sortWithinPartitions(*KEYS))
-    x = "concat(array(1.0D), transform(v, e -> e.mae), transform(v, e -> e.cost))"
-    long = series.where(f"size(v) = {m} AND NOT exists(v, e -> e.mae IS NULL OR e.cost IS NULL)").selectExpr(
+    long = series.where("NOT exists(mae, e -> e IS NULL) AND NOT exists(cost, e -> e IS NULL)").selectExpr(
         f"CAST({KEYS[0]} AS BIGINT) AS u0", f"CAST({KEYS[1]} AS BIGINT) AS u1", f"{number} AS arm",
-        f"2 * {regime_cell()} + if(realised = 'holding', 1, 0) AS cell", f"{x} AS x")
+        f"2 * {regime_cell()} + if(realised = 'holding', 1, 0) AS cell", "concat(array(1.0D), mae, cost) AS x")
     views: dict[str, R.View] = {"fixed|all": (0, 4), "fixed|stockout": (0, 2), "fixed|holding": (2, 4),
                                 "realised|stockout": [0, 2], "realised|holding": [1, 3]}
     stats = R.statistics(R.matrices(long, replicates, seed, draw=draw), arms, views, R.fleet_rho(m), replicates)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partcast import config as C
 from partcast.catalog import inference
 from partcast.config import MODELS
-from partcast.plans import analyses as N, compare as P
+from partcast.plans import analyses as N, compare as P, costing as K
 from partcast.sources.fixtures import KEYS
 
 METRICS = ["level", "mae", "rmse", "rp", "eoq", "up_to", "on_hand_sum", "short_units", "n_orders", "hold_cost", "order_cost",
@@ -49,3 +49,16 @@ def test_models_of_a_series_are_not_brought_together_again(spark, sf):
     plan = inference.taus(spark, sf, ["segment", "abc", "test_demand"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
     assert plan.count("HashAggregate(") == 2 and plan.count("Exchange ") == 1
+
+
+def test_arms_of_a_series_stay_in_its_row(spark, sf):
+    panel = P.prepared_panel(spark, sf)
+    arms = K.arm_series(panel, ("mae", "cost"))
+    plan = arms._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and plan.count("ArrowEvalPython") == 1
+    got = by_key(K.arm_rows(panel).where("arm = 'S/H4'"), ["mae", "cost", "fill"])
+    want = by_key(P.scored(panel, equal_info=True), ["mae", "cost", "fill"])
+    assert got.keys() == want.keys()
+    assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) for k in got for a, b in zip(got[k], want[k]))
+    held = panel.count()
+    assert {r["arm"]: r["count"] for r in arms.groupBy("arm").count().collect()} == {a[0]: held for a in C.ARMS}
