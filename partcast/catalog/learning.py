@@ -186,10 +186,12 @@ UNION ALL SELECT 'tau', CASE WHEN test_demand > 0 THEN 'active' ELSE 'zero' END,
 UNION ALL SELECT 'tau', 'pooled', 'n', count(tau)::DOUBLE FROM tau_t"""))
 def comparison_ledger(spark, sf):
     """Per-model table and rank agreement with a supplied tenth model."""
-    rows = P.scored_from(spark, sf, with_external=True)
-    model = rows.groupBy("model").agg(r(F.avg("mae"), 6, "mae"), r(F.avg("cost"), 3, "cost"), r(F.avg("fill"), 6, "fill")).selectExpr(
+    panel = P.prepared_panel(spark, sf)
+    given = panel.join(X.external_forecasts(panel).select(*KEYS, "point"), KEYS, "left").fillna({"point": 0.0})
+    series = P.series_scores(given, ["mae", "cost", "fill"], ["test_demand"], models=M10, supplied="point")
+    model = P.by_model(series, ["mae", "cost", "fill"], [], M10).groupBy("model").agg(r(F.avg("mae"), 6, "mae"), r(F.avg("cost"), 3, "cost"), r(F.avg("fill"), 6, "fill")).selectExpr(
         "'model' AS analysis", "model AS grp", "inline(array(struct('mae' AS metric, mae AS value), struct('cost' AS metric, cost AS value), struct('fill' AS metric, fill AS value)))")
-    t = N.per_series_stats(rows, {"mc": ("mae", "cost")}, ["test_demand"], M10).selectExpr(
+    t = N.series_stats(series, {"mc": ("mae", "cost")}, ["test_demand"], "tau").selectExpr(
         "explode(array('pooled', if(test_demand > 0, 'active', 'zero'))) AS grp", "tau_mc")
     tau = t.groupBy("grp").agg(r(F.avg("tau_mc"), 6, "m"), F.count("tau_mc").cast("double").alias("n")).selectExpr(
         "'tau' AS analysis", "grp", "inline(array(struct('mean' AS metric, m AS value), struct('n' AS metric, n AS value)))")

@@ -211,8 +211,9 @@ def label_codes(spark, sf):
 @add("quarter_vector_long", Q.query(Q.series(), """
 SELECT item_id, q.q::INTEGER AS q, sum(y[q.q]) AS qty FROM series, (SELECT unnest(range(1, 29)) AS q) q GROUP BY ALL"""))
 def quarter_vector_long(spark, sf):
-    long = X.demand_series(spark, sf).select("item_id", F.posexplode("y").alias("pos", "v"))
-    return long.groupBy("item_id", (F.col("pos") + 1).alias("q")).agg(F.sum("v").alias("qty"))
+    """One series per item, so that nothing is summed again after it is unfolded."""
+    long = X.demand_series(spark, sf, "part").select("item_id", F.posexplode("y").alias("pos", "qty"))
+    return long.select("item_id", (F.col("pos") + 1).alias("q"), "qty")
 
 
 @add("derived_flags", Q.query(Q.panel(), """

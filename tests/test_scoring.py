@@ -62,3 +62,32 @@ def test_arms_of_a_series_stay_in_its_row(spark, sf):
     assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) for k in got for a, b in zip(got[k], want[k]))
     held = panel.count()
     assert {r["arm"]: r["count"] for r in arms.groupBy("arm").count().collect()} == {a[0]: held for a in C.ARMS}
+
+
+def test_loss_differences_are_pooled_in_the_tasks(spark, sf):
+    panel = P.prepared_panel(spark, sf)
+    plan = N.dm_matrix(panel, C.CLEAN)._jdf.queryExecution().executedPlan().toString()
+    assert "flatten" not in plan and "SortAggregate" not in plan
+    rows = [r.asDict() for r in P.scored(panel).select(*KEYS, "model", "level", "test").collect()]
+    loss = {}
+    for r in rows:
+        loss.setdefault(r["model"], {})[tuple(r[k] for k in KEYS)] = [(r["level"] - x) ** 2 for x in r["test"]]
+    got = {(r["a"], r["b"]): r for r in N.dm_matrix(panel.repartition(5), C.CLEAN).collect()}
+    assert len(got) == len(MODELS) * (len(MODELS) - 1)
+    for (a, b), r in got.items():
+        d = [x - y for k in loss[a] for x, y in zip(loss[a][k], loss[b][k])]
+        mean = sum(d) / len(d)
+        sd = math.sqrt(sum((x - mean) ** 2 for x in d) / (len(d) - 1))
+        assert r["n"] == len(d) and math.isclose(r["stat"], mean / (sd / math.sqrt(len(d))), rel_tol=1e-9)
+
+
+def test_quarters_of_an_item_are_summed_once(spark, sf):
+    from partcast.catalog.relational import quarter_vector_long
+    d = quarter_vector_long(spark, sf)
+    assert d._jdf.queryExecution().executedPlan().toString().count("HashAggregate(") == 2
+
+
+def test_ledger_regroups_nothing(spark, sf):
+    from partcast.catalog.learning import comparison_ledger
+    plan = comparison_ledger(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "first(test_demand" not in plan and "v_cost_0" not in plan
