@@ -12,7 +12,7 @@ from partcast.functions.resampling import uniform_sql
 from partcast.operators.bootstrap import UNIT
 from partcast.operators.policy import by_tier, service_z, with_deployed_policy, with_normal_policy, with_quantile_policy
 from partcast.operators.replay import replay, with_costs
-from partcast.operators.scoring import arms_udf
+from partcast.operators.scoring import arms_udf, fill_curve
 from partcast.plans.compare import by_model
 from partcast.sources.fixtures import KEYS
 
@@ -120,23 +120,18 @@ def fill_matched(
     Each round replays a grid of scale factors, aggregates to one fill per
     (model, factor), and narrows to the first bracket that reaches the target
     (final width top / 64 / 16^3 = 3e-5); the brackets, one per model, enter
-    the next round as literals.  The fitted rows are kept between rounds.
+    the next round as numbers.  The fitted rows are kept between rounds.
     Fill is not monotone in the factor for every series, so the first crossing
     is taken and further crossings are reported.
     """
     rows = rows.persist()
     target_rows = with_costs(replay(with_normal_policy(rows), horizon))
     target = target_rows.groupBy("model").agg(F.avg("fill").alias("target"), F.avg("cost").alias("cost_normal"))
-    base = rows.select(*KEYS, "model", "level", "quantiles", "tier", "lead_q", "price", "test")
+    base = with_quantile_policy(rows)
     brackets = {r["model"]: (0.0, top, r["target"], r["cost_normal"]) for r in target.collect()}
     state: dict[str, dict] = {}
     for step, n in enumerate(points):
-        cases = lambda i: "CASE model " + " ".join(
-            f"WHEN '{m}' THEN {b[i]!r}D" for m, b in brackets.items()) + " END"
-        grid = base.selectExpr("*", f"{cases(0)} AS _lo", f"{cases(1)} AS _hi").selectExpr(
-            "*", f"explode(transform(sequence(0, {n - 1}), i -> _lo + (_hi - _lo) * i / {n - 1}.0D)) AS kappa")
-        done = with_costs(replay(with_quantile_policy(grid, kappa="kappa"), horizon))
-        curve = done.groupBy("model", "kappa").agg(F.avg("fill").alias("fill"), F.avg("cost").alias("cost"))
+        curve = fill_curve(base, {m: [lo + (hi - lo) * i / (n - 1.0) for i in range(n)] for m, (lo, hi, *_) in brackets.items()})
         points_of: dict[str, list] = {}
         for row in curve.collect():  # models x grid points
             points_of.setdefault(row["model"], []).append((row["kappa"], row["fill"], row["cost"]))

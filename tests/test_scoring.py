@@ -91,3 +91,20 @@ def test_ledger_regroups_nothing(spark, sf):
     from partcast.catalog.learning import comparison_ledger
     plan = comparison_ledger(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "first(test_demand" not in plan and "v_cost_0" not in plan
+
+
+def test_fill_curve_equals_replayed_grid(spark, sf):
+    from partcast.catalog.costing import quantile_rows
+    from partcast.operators.policy import with_quantile_policy
+    from partcast.operators.replay import replay, with_costs
+    from partcast.operators.scoring import fill_curve
+    rows = with_quantile_policy(quantile_rows(spark, sf))
+    grid = {"ZIP": [0.0, 0.5, 1.0], "EXT": [0.25, 2.0]}
+    got = {(r["model"], r["kappa"]): r for r in fill_curve(rows, grid).collect()}
+    assert sorted(got) == sorted((m, k) for m, ks in grid.items() for k in ks)
+    for k in (0.5, 2.0):
+        for r in with_costs(replay(with_quantile_policy(rows.drop("rp", "eoq", "up_to", "q_service"), kappa=f"{k}D"), 4)).groupBy("model").agg(
+                F.avg("fill").alias("fill"), F.avg("cost").alias("cost")).collect():
+            if (r["model"], k) in got:
+                assert math.isclose(got[r["model"], k]["fill"], r["fill"], rel_tol=1e-12)
+                assert math.isclose(got[r["model"], k]["cost"], r["cost"], rel_tol=1e-12)
