@@ -12,7 +12,9 @@ of sets are alike:
   derived from that of a set like it;
 * lists whose members are in one group already are skipped whole;
 * what is left is joined in full, pairs from different groups only, under the
-  length and positional filters.  Nothing is capped, so no group is missed.
+  length and positional filters.  Nothing is capped, so no group is missed.  Lists
+  of band values say little about members: there the sets of a longer list meet only
+  where they share one of their rarest members too, which similar sets can't avoid.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from partcast.llm.components import components
 from partcast.llm.scratch import Scratch
 
 PERCENT = 80
+#: Lists of band values with more sets than this are split by members before their pairs are formed.
+SHORT = 8
 
 
 def similar(common: Column, n: Column, m: Column, percent: int) -> Column:
@@ -88,6 +92,34 @@ def in_shared_lists(listed: DataFrame) -> DataFrame:
     return listed.join(shared.select("key"), "key")
 
 
+def pairs_of_lists(now: DataFrame, percent: int) -> DataFrame:
+    """now (key, e, n, left, label): (a, b) of all pairs in a list that pass the filters."""
+    both = now.alias("m").join(now.alias("l"), "key").where("m.e < l.e")
+    return both.where(F.col("m.label") != F.col("l.label")).where(_fits("m", "l", percent)).select(
+        F.col("l.e").alias("a"), F.col("m.e").alias("b"))
+
+
+def pairs_of_bands(now: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The same for lists of band values; no similar pair is left out.
+
+    A short list is paired as it is.  In a long one, two sets meet under each of the rarest members that both have in
+    their prefixes.  The smaller set is listed by the prefix for partners of its size or more, the larger one looks
+    no further than the smallest set of the list makes necessary.
+    """
+    long = now.groupBy("key").agg(F.count(F.lit(1)).alias("_z"), F.min("n").alias("least")).where(f"_z > {SHORT}").select("key", "least")
+    crowded = scratch.keep(now.join(long, "key").select("key", "e", "n", "label", "least"))
+    rarest = postings(sets.join(crowded.select("e").distinct(), "e", "left_semi"), percent).select(
+        F.col("key").alias("member"), "e", "left")
+    needed = similar(F.col("left") + 1, F.col("n"), F.greatest("least", F.expr(f"n * {percent} div 100")), percent)
+    asked = scratch.keep(crowded.join(rarest, "e").where(needed).drop("least"))
+    index = asked.where(similar(F.col("left") + 1, F.col("n"), F.col("n"), percent))
+    met = (asked.alias("m").join(index.alias("l"), ["key", "member"]).where("l.n < m.n OR (l.n = m.n AND l.e < m.e)")
+           .where(F.col("m.label") != F.col("l.label")).where(_fits("m", "l", percent))
+           .select(F.col("l.e").alias("a"), F.col("m.e").alias("b")))
+    return pairs_of_lists(now.join(long, "key", "left_anti"), percent).unionByName(
+        met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
 def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch: Scratch,
            percent: int = PERCENT, star_rounds: int = 3, lists: DataFrame | None = None) -> DataFrame:
     """candidates (e) -> (e, label), for sets that are similar to another one.
@@ -102,7 +134,8 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
     wanted = scratch.keep(candidates)
     sets = scratch.keep(fetch(wanted))
     scratch.drop(wanted)
-    if lists is None:
+    bands = lists is not None
+    if not bands:
         lists = scratch.keep(in_shared_lists(scratch.keep(postings(sets, percent))))
     else:
         whole, lists = lists, scratch.keep(bounded(lists, sets, percent))
@@ -122,11 +155,11 @@ def groups(candidates: DataFrame, fetch: Callable[[DataFrame], DataFrame], scrat
                       .agg(F.min(F.struct(-F.col("shared") if r < 2 else F.lit(0), F.xxhash64("e", F.lit(r)), "e", "n", "left", "label")).alias("s"))
                       .select("key", "block", "s.e", "s.n", "s.left", "s.label"))
             both = now.alias("m").join(leader.alias("l"), ["key", "block"])
+            pairs = (both.where(F.col("m.label") != F.col("l.label")).where(_fits("m", "l", percent))
+                     .select(F.col("l.e").alias("a"), F.col("m.e").alias("b")))
         else:
-            both = now.alias("m").join(now.alias("l"), "key").where("m.e < l.e")
-        pairs = (both.where(F.col("m.label") != F.col("l.label")).where(_fits("m", "l", percent))
-                 .select(F.col("l.e").alias("a"), F.col("m.e").alias("b")).distinct())
-        found = scratch.keep(verify(pairs, sets, percent))
+            pairs = pairs_of_bands(now, sets, scratch, percent) if bands else pairs_of_lists(now, percent)
+        found = scratch.keep(verify(pairs.distinct(), sets, percent))
         if mine is not None:
             scratch.drop(mine)
         if r and found.isEmpty():

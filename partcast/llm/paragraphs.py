@@ -11,7 +11,8 @@ Paragraphs whose first gram occurs once drop out before anything is compared.
 Equal shingle sets are one set from the start.  Each set gets bands of MinHash
 values, as many and as wide as `tune` finds for the threshold and the recall
 asked for.  Sets that collide in a band are joined (see `linking`: a crowded
-bucket is thinned in star rounds, without all of its pairs), verified by the exact
+bucket is thinned in star rounds, without all of its pairs, and then split by the
+rarest shingles of its sets, of which similar ones share one), verified by the exact
 Jaccard similarity of their shingles, and clustered by components.  Of a cluster
 the occurrence with the smallest document id, place and text hash is the first,
 and stays together with those in the same text that overlap it; the words of the
@@ -184,7 +185,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     places = index.drop("keys", "n")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        where = places.join(wanted, "e").groupBy("e").agg(F.min(F.struct("doc_id", "t")).alias("at"))
+        # a place per task and set is enough, however many texts hold it
+        where = index.where(F.size("keys") > 0).join(wanted, "e").groupBy("e").agg(F.min(F.struct("doc_id", "t")).alias("at"))
         some = with_texts(where.select("at.doc_id", "at.t", "e"), "e", "wanted")
         return some.mapInArrow(lambda it: _members(it, sets), "e long, members array<long>").dropDuplicates(["e"])
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partcast.llm import decontaminate, licenses, mixing, ngram_join, paragraphs, suffixes, toxicity
+from partcast.llm import decontaminate, licenses, linking, mixing, ngram_join, paragraphs, suffixes, toxicity
 from partcast.llm import queries as q
 from partcast.llm.components import components
 from partcast.llm.scratch import Scratch
@@ -439,3 +439,32 @@ def test_licenses_wrapped_over_lines(spark):
     texts = [(1, bsd), (2, mpl), (3, apart), (4, "Released under\nthe MIT\nlicense"), (5, "x\n" + mpl.replace("\n", " ") + "\ny")]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {1: ("bsd", 1.0), 2: ("mpl-2", 1.0), 3: ("", 0.0), 4: ("mit", 1.0), 5: ("mpl-2", 1.0)}
+
+
+def test_crowded_bands_lose_no_link_and_ask_few_pairs(spark, monkeypatch):
+    """One list of 400 sets with two changed fifths each: all links as over all pairs, without asking for all pairs."""
+    rng, asked = np.random.default_rng(3), []
+    sets = {}
+    for e in range(0, 800, 2):
+        m = list(range(37))
+        for block in rng.choice(7, 2, replace=False).tolist():
+            m[block * 5: block * 5 + 5] = (1000 + 1000 * int(rng.integers(30)) + np.arange(block * 5, block * 5 + 5)).tolist()
+        sets[e] = m
+        if e % 40 == 0:
+            sets[e + 1] = m[:int(rng.integers(33, 37))] + [10 ** 6 + e]
+    table = spark.createDataFrame([(e, m) for e, m in sets.items()], "e long, members array<long>").repartition(3)
+
+    def counted(pairs, all_sets, percent, real=linking.verify):
+        asked.append(pairs.count())
+        return real(pairs, all_sets, percent)
+    monkeypatch.setattr(linking, "verify", counted)
+    scratch = Scratch(spark)
+    lists = scratch.keep(table.selectExpr("7L AS key", "e", "size(members) AS n", "CAST(NULL AS INT) AS left", "0.0D AS shared"))
+    got = {r.e: r.label for r in linking.groups(table.select("e"), lambda wanted: table.join(wanted, "e"), scratch, lists=lists).collect()}
+    like = {e: [f for f in sets if len({*sets[e]} & {*sets[f]}) * 180 >= (len(sets[e]) + len(sets[f])) * 80] for e in sets}
+    for e in sets:   # groups are chains of links
+        now = {e}
+        while (more := now.union(*[like[f] for f in now])) != now:
+            now = more
+        assert got.get(e, e) == min(now)
+    assert sum(len(f) > 1 for f in like.values()) >= 20 and max(asked) <= 10 * len(sets)
