@@ -614,9 +614,8 @@ FROM smp JOIN w USING (segment, abc) GROUP BY tier"""))
 def weighted_mean_kish(spark, sf):
     from partcast.plans.weighting import kish, weighted_mean
     p = P.prepared_panel(spark, sf).select(*KEYS, "segment", "abc", "tier", "lead_days")
-    s = O.stratified_sample(p, ["segment", "abc"], KEYS, 3000)
-    w = PN.design_weights(p, s, ["segment", "abc"]).select("segment", "abc", "weight")
-    return O.join_by(s, w, ["segment", "abc"]).groupBy("tier").agg(
+    s = O.stratified_sample(p, ["segment", "abc"], KEYS, 3000, sizes=True).withColumn("weight", F.expr("pop_n / sample_n"))
+    return s.groupBy("tier").agg(
         r(weighted_mean("lead_days"), 6, "lead_weighted"), r(F.avg("lead_days"), 6, "lead_raw"), r(kish(), 4, "n_eff"))
 
 

@@ -66,26 +66,32 @@ def running_share(df: DataFrame, group: str, count: str, key: str) -> DataFrame:
         "_h", "_b", "_rn", "_before")
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: list[str], target: int, seed: int = 42) -> DataFrame:
-    """Equal allocation: max(1, ceil(target / strata)) rows per stratum.
+def stratum_caps(df: DataFrame, strata: list[str], key: list[str], target: int, seed: int = 42) -> DataFrame:
+    """(strata..., pop_n, sample_n, _last): rows of a stratum, how many of them are sampled, and the hash part the last one is in.
 
-    Rows are taken in hash order.  Bucket counts decide which hash buckets can
-    hold a sampled row; only those rows reach the per-stratum ordering, which
-    therefore sees about cap + sqrt(stratum) rows.
+    df is read once, into counts per stratum and leading three hex digits of the key's hash.
     """
-    rows = with_buckets(df.withColumn("_h", key_hash(*key, seed=seed)), strata)
-    counts = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
-    ahead = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    cells = df.select(*strata).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    open_cells = counts.withColumn("_cap", F.greatest(F.lit(1), F.ceil(F.lit(float(target)) / cells))).where(
-        "_before < _cap").select(*strata, "_b", "_cap")
-    near = join_by(rows, open_cells, [*strata, "_b"])
+    parts = df.select(*strata, F.substring(key_hash(*key, seed=seed), 1, 3).alias("_b")).groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = parts.groupBy(*strata).agg(F.sum("_n").alias("pop_n"), F.array_sort(F.collect_list(F.struct("_b", "_n"))).alias("_l"))
+    # a row per stratum from here on
+    sizes = sizes.withColumn("_cells", F.count(F.lit(1)).over(W.partitionBy())).withColumn(
+        "sample_n", F.expr(f"least(pop_n, greatest(1, ceil({float(target)}D / _cells)))"))
+    last = "aggregate(_l, named_struct('n', 0L, 'b', ''), (a, x) -> if(a.n >= sample_n, a, named_struct('n', a.n + x._n, 'b', x._b)), a -> a.b)"
+    return sizes.select(*strata, "pop_n", "sample_n", F.expr(last).alias("_last"))
+
+
+def stratified_sample(df: DataFrame, strata: list[str], key: list[str], target: int, seed: int = 42, sizes: bool = False) -> DataFrame:
+    """Equal allocation: max(1, ceil(target / strata)) rows per stratum; with ``sizes`` pop_n and sample_n of its stratum in each.
+
+    Rows are taken in hash order.  Counts decide up to which hash part a stratum is needed; only those rows reach the
+    per-stratum ordering, which therefore sees about cap + stratum / 4096 rows.  df is read twice.  ``strata`` must be
+    bounded by configuration (segment, class ...): one row per stratum is broadcast on that ground.
+    """
+    near = join_by(df.withColumn("_h", key_hash(*key, seed=seed)), F.broadcast(stratum_caps(df, strata, key, target, seed)), strata).where(
+        F.substring("_h", 1, 3) <= F.col("_last"))
     order = W.partitionBy(*strata).orderBy("_h", *key)
-    return (
-        near.withColumn("_rn", F.row_number().over(order)).where("_rn <= _cap")
-        .drop("_h", "_b", "_rn", "_cap")
-    )
+    taken = near.withColumn("_rn", F.row_number().over(order)).where("_rn <= sample_n").drop("_h", "_rn", "_last")
+    return taken if sizes else taken.drop("pop_n", "sample_n")
 
 
 def random_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -1,5 +1,6 @@
 """Rank statistics, quantiles, bootstrap and ordered operators against brute force."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -151,6 +152,16 @@ def test_stratified_sample_allocation_and_invariance(spark):
     assert set(one.k) == set(many.k)
 
 
+def test_stratified_sample_reads_its_rows_twice(spark):
+    df = spark.range(5000).selectExpr("id AS k", "if(id < 4000, 'a', if(id < 4990, 'b', NULL)) AS s")
+    out = O.stratified_sample(df, ["s"], ["k"], 300)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 2
+    rows = O.stratified_sample(df, ["s"], ["k"], 300, sizes=True).collect()
+    assert {(r.s, r.pop_n, r.sample_n) for r in rows} == {("a", 4000, 100), ("b", 990, 100), (None, 10, 10)} and len(rows) == 210
+    first = sorted(range(4000), key=lambda k: hashlib.md5(f"42|{k}".encode()).hexdigest())[:100]
+    assert {r.k for r in rows if r.s == "a"} == set(first) and {r.k for r in rows} == {r.k for r in out.collect()}
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([("b",), (None,), ("ab",), ("a",), ("b",), ("zz",)], "c string")
     got = {r["value"]: r["code"] for r in O.label_codes(df, "c").collect()}
