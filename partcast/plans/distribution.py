@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from partcast.config import QUANTILE_LEVELS, Window
 from partcast.functions import smoothing as S
 from partcast.operators.quantiles import exact_quantiles
+from partcast.operators.scoring import distributional_udf
 from partcast.sources.fixtures import KEYS
 
 
@@ -20,16 +21,17 @@ def uncross(quantiles: str) -> Column:
     return F.expr(f"transform({quantiles}, (v, i) -> array_max(slice({quantiles}, 1, i + 1)))")
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def count_quantiles(weight: pd.Series, mean: pd.Series, disp: pd.Series) -> pd.Series:
+def count_levels(weight: np.ndarray, mean: np.ndarray, disp: np.ndarray) -> np.ndarray:
     """Smallest k with CDF(k) >= level, for 0 mixed with a count distribution.
 
     With probability ``weight`` the count is Poisson(mean), or negative
     binomial with that mean when ``disp`` > 0; otherwise it is 0.  The mass
     function is advanced in log space for the whole batch, one k at a time,
-    dropping rows once their last level is reached.
+    dropping rows once their last level is reached; equal distributions are
+    counted once.
     """
-    w, mu, a = (x.to_numpy(np.float64) for x in (weight, mean, disp))
+    different, which = np.unique(np.column_stack([weight, mean, disp]), axis=0, return_inverse=True)
+    w, mu, a = np.ascontiguousarray(different.T)
     n = len(w)
     out = np.zeros((n, len(QUANTILE_LEVELS)))
     # a level at or below the zero mass needs no counting
@@ -52,7 +54,13 @@ def count_quantiles(weight: pd.Series, mean: pd.Series, disp: pd.Series) -> pd.S
         cdf[rows] += np.exp(logp[rows])
         # numerical exhaustion of the tail
         rows = rows[(cdf[rows] < 1.0 - 1e-15) | (k < 2 * mu[rows] + 10)]
-    return pd.Series(list(out))
+    return out[which.ravel()]
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def count_quantiles(weight: pd.Series, mean: pd.Series, disp: pd.Series) -> pd.Series:
+    """:func:`count_levels` as an array over the level grid."""
+    return pd.Series(list(count_levels(*[x.to_numpy(np.float64) for x in (weight, mean, disp)])))
 
 
 def with_count_quantiles(df: DataFrame) -> DataFrame:
@@ -80,6 +88,22 @@ def explode_quantile_models(df: DataFrame, window: Window, keep: list[str], exte
     )
 
 
+def distributional_scores(panel: DataFrame, external: DataFrame, window: Window, level: float, keep: list[str]) -> DataFrame:
+    """(keep..., model, mae, rmse, quantile) per series and quantile-emitting model: its errors and its quantile at a level.
+
+    The numbers of :func:`explode_quantile_models`, without the models' column arithmetic, whose generated method is too
+    long for the JVM.
+    """
+    place = QUANTILE_LEVELS.index(level)
+    udf = distributional_udf(window, count_levels, place)
+    rows = panel.select(*dict.fromkeys([*KEYS, *keep, "y"])).join(external, KEYS, "left").withColumn("_s", udf("y", F.expr("coalesce(point, 0.0D)")))
+    at = lambda i: f"get(_s.mae, {i}) AS mae, get(_s.rmse, {i}) AS rmse"
+    return rows.selectExpr(*keep, "inline(array("
+                           f"struct('ZIP' AS model, {at(0)}, get(_s.quantile, 0) AS quantile),"
+                           f"struct('HURDLE_NB' AS model, {at(1)}, get(_s.quantile, 1) AS quantile),"
+                           f"struct('EXT' AS model, {at(2)}, coalesce(get(quantiles, {place}), 0.0D) AS quantile)))")
+
+
 def pinball(q: str, level: str, items: list[str]) -> str:
     """Mean pinball loss of forecast ``q`` at quantile level ``level``."""
     loss = [f"if({x} >= {q}, {level} * ({x} - {q}), ({level} - 1.0D) * ({x} - {q}))" for x in items]

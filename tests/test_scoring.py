@@ -108,3 +108,26 @@ def test_fill_curve_equals_replayed_grid(spark, sf):
             if (r["model"], k) in got:
                 assert math.isclose(got[r["model"], k]["fill"], r["fill"], rel_tol=1e-12)
                 assert math.isclose(got[r["model"], k]["cost"], r["cost"], rel_tol=1e-12)
+
+
+def test_distributional_summary_counts_once_and_equals_columns(spark, sf):
+    """One pass over the models' rows (the plan had three), and the numbers of the column form."""
+    from partcast.catalog.costing import quantile_rows
+    from partcast.catalog.inference import distributional_summary
+    from partcast.config import CLEAN
+    from partcast.plans.distribution import distributional_scores
+    from partcast.plans.compare import prepared_panel
+    from partcast.sources.fixtures import external_forecasts
+    out = distributional_summary(spark, sf)
+    rows = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("struct(model, ZIP") == 1
+    assert sum(r["n"] for r in rows) == 3 * prepared_panel(spark, sf).count()
+    p = prepared_panel(spark, sf)
+    got = distributional_scores(p, external_forecasts(p), CLEAN, 0.95, KEYS).collect()
+    want = {(r["item_id"], r["site_id"], r["model"]): r for r in quantile_rows(spark, sf).collect()}
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r["item_id"], r["site_id"], r["model"]]
+        assert r["quantile"] == w["quantiles"][3]
+        assert math.isclose(r["mae"], sum(abs(w["level"] - x) for x in w["test"]) / 4, rel_tol=1e-12, abs_tol=1e-12)
