@@ -5,7 +5,10 @@ content-selected place on, the first of a k-gram that is the smallest of some
 `window` neighbouring ones.  A passage holds the same such places wherever it
 stands, so copies have paragraphs of equal words whatever surrounds them: one of
 words + window - 1 words (55 by default) or more surely holds a whole one, and one
-of 51 shares four fifths of the shingles of one (measured in the README).
+of `passage` words (50 by default) four fifths of the shingles of one.  Where the text
+ends first, the words up to its end are the paragraph, if they are as many as that
+(passage - window + 1), so that a passage at the end of a text, or one that is all of a
+text, is met too.
 
 Paragraphs whose first gram occurs once drop out before anything is compared.
 Equal shingle sets are one set from the start.  Each set gets bands of MinHash
@@ -18,7 +21,7 @@ the occurrence with the smallest document id, place and text hash is the first,
 and stays together with those in the same text that overlap it; the words of the
 others are removed, unless a first occurrence of another cluster covers them.
 
-Defined results: null, empty and shorter texts have no paragraphs; rows that
+Defined results: null, empty and texts too short for that have no paragraphs; rows that
 repeat both id and text count as one occurrence, and all of them are treated
 alike; a null id sorts first.  Other columns pass through `without_repeats`,
 which takes the removed words out of the text and leaves all separators.
@@ -38,7 +41,7 @@ from partcast.llm.linking import PERCENT, groups, in_shared_lists
 from partcast.llm.scratch import Scratch
 from partcast.llm.suffixes import FOUND, by_text, cut_out, minimisers
 
-K, WORDS, WINDOW, GRAM = 5, 41, 15, 8
+K, WORDS, WINDOW, GRAM, PASSAGE = 5, 41, 15, 8, 50
 RECALL, HASHES = 0.95, 16
 
 
@@ -61,8 +64,10 @@ def tune(percent: int, recall: float, hashes: int) -> tuple[int, int]:
 class Sets:
     """The shingle sets of paragraphs, and their band keys."""
 
-    def __init__(self, k: int, words: int, window: int, gram: int, bands: int, rows: int) -> None:
+    def __init__(self, k: int, words: int, window: int, gram: int, bands: int, rows: int, passage: int = PASSAGE) -> None:
         self.k, self.words, self.window, self.gram = k, words, window, gram
+        #: Words of a paragraph that the end of its text cuts short: what a passage surely has from a place on.
+        self.least = min(words, max(passage - window + 1, k, gram))
         rng = np.random.default_rng(9)
         self.xor = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64)
         self.mul = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,12 +76,16 @@ class Sets:
         """(place, gram) of the paragraphs of one text."""
         g = W.grams(h, self.gram)
         at = minimisers(g, self.window)
-        at = at[at + self.words <= len(h)]
+        at = at[at + self.least <= len(h)]
         return at, g[at]
 
     def shingles(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted shingles, which of them are the first of their kind, hash of the set), a row per paragraph."""
-        s = np.sort(W.grams(h, self.k)[at[:, None] + np.arange(self.words - self.k + 1)], axis=1)
+        """(sorted shingles, which of them are the first of their kind, hash of the set), a row per paragraph.
+
+        A paragraph that the text's end cuts short has its first shingle again in place of those beyond.
+        """
+        g, i = W.grams(h, self.k), at[:, None] + np.arange(self.words - self.k + 1)
+        s = np.sort(g[np.where(i < len(g), i, at[:, None])], axis=1)
         new = np.ones(s.shape, bool)
         new[:, 1:] = s[:, 1:] != s[:, :-1]
         with np.errstate(over="ignore"):
@@ -108,7 +117,7 @@ def _grams(batches, sets: Sets):
     for batch in batches:
         for part in W.slices(batch, "text"):
             rows, keys, often = [], [], []
-            for r, h in _texts(part, sets.words):
+            for r, h in _texts(part, sets.least):
                 one, n = np.unique(sets.places(h)[1], return_counts=True)
                 rows.append(np.full(len(one), r)), keys.append(one), often.append(n)
             if rows:
@@ -119,12 +128,13 @@ def _grams(batches, sets: Sets):
 
 
 def _index(batches, sets: Sets):
-    """(doc_id, t, place, n, e, keys) of paragraphs with one of the grams; keys is empty for sets that the task has had."""
+    """(doc_id, t, size, place, n, e, keys) of paragraphs with one of the grams; size is the words of the text, keys is empty
+    for sets that the task has had."""
     had: set[int] = set()
     for batch in batches:
         for part in W.slices(batch, "text"):
             grams = part.column("grams").to_pylist()
-            for r, h in _texts(part, sets.words):
+            for r, h in _texts(part, sets.least):
                 at, g = sets.places(h)
                 met = np.isin(g, np.array(grams[r], np.int64).view(np.uint64))
                 at, g = at[met], g[met]
@@ -138,10 +148,11 @@ def _index(batches, sets: Sets):
                     had.update(sign[new].tolist())
                     row = pa.array(np.full(len(some), r))
                     yield pa.RecordBatch.from_arrays([
-                        part.column("doc_id").take(row), part.column("t").take(row), pa.array(some.astype(np.int32)),
+                        part.column("doc_id").take(row), part.column("t").take(row),
+                        pa.array(np.full(len(some), len(h), np.int32)), pa.array(some.astype(np.int32)),
                         pa.array(first.sum(axis=1).astype(np.int32)), pa.array(sign),
                         W.list_column(W.signed(sets.keys(s[new], own[new]).ravel()), new * len(sets.xor))],
-                        names=["doc_id", "t", "place", "n", "e", "keys"])
+                        names=["doc_id", "t", "size", "place", "n", "e", "keys"])
 
 
 def _members(batches, sets: Sets):
@@ -149,7 +160,7 @@ def _members(batches, sets: Sets):
     for batch in batches:
         for part in W.slices(batch, "text"):
             wanted = part.column("wanted").to_pylist()
-            for r, h in _texts(part, sets.words):
+            for r, h in _texts(part, sets.least):
                 need = np.array(wanted[r], np.int64)
                 at = sets.places(h)[0]
                 for a in range(0, len(at), 1 << 13):
@@ -163,12 +174,12 @@ def _members(batches, sets: Sets):
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS, window: int = WINDOW,
-            percent: int = PERCENT, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
+            percent: int = PERCENT, recall: float = RECALL, hashes: int = HASHES, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, t, repeated_words, removed_words, repeated, removed) for each text with a repeated paragraph.
 
     Spans are words [start, end) of the text; t, the hash of the text, tells rows of one id apart.
     """
-    scratch, sets = Scratch(docs.sparkSession), Sets(k, words, window, GRAM, *tune(percent, recall, hashes))
+    scratch, sets = Scratch(docs.sparkSession), Sets(k, words, window, GRAM, *tune(percent, recall, hashes), passage)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
 
     def with_texts(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -180,7 +191,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     grams = scratch.keep(texts.mapInArrow(lambda it: _grams(it, sets), "doc_id long, t long, gram long, n int"))
     shared = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     index = scratch.keep(with_texts(grams.join(shared, "gram"), "gram", "grams").mapInArrow(
-        lambda it: _index(it, sets), "doc_id long, t long, place int, n int, e long, keys array<long>"))
+        lambda it: _index(it, sets), "doc_id long, t long, size int, place int, n int, e long, keys array<long>"))
     scratch.drop(grams)
     places = index.drop("keys", "n")
 
@@ -206,7 +217,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     repeated = clusters.where(~near(F.col("last")) | (F.col("low") < F.col("high"))).select("label", "first")
     found = scratch.keep(of_set.select("e", "label").join(repeated, "label").select("e", "first"))
     of_text = places.join(found, "e").select(
-        "doc_id", "t", F.array("place").alias("places"),
+        "doc_id", "t", "size", F.array("place").alias("places"),
         near({c: F.col(c) for c in ("doc_id", "t", "place")}).alias("kept"))
     return (of_text.repartition("doc_id", "t").sortWithinPartitions("doc_id", "t")
             .mapInArrow(lambda it: by_text(it, words), FOUND))

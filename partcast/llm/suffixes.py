@@ -102,7 +102,7 @@ def _windows(batches, words: int, k: int):
 def _covered(starts: np.ndarray, words: int, n: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + words, -1)
+    np.add.at(edge, np.minimum(starts + words, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -116,14 +116,18 @@ FOUND = f"doc_id long, t long, repeated_words long, removed_words long, repeated
 
 
 def by_text(batches, words: int):
-    """Repeated windows (doc_id, t, places, kept) in order of text -> a row per text; kept: the first place stays."""
+    """Repeated windows (doc_id, t, places, kept) in order of text -> a row per text; kept: the first place stays.
+
+    Where a column `size` says how many words the text has, windows end there.
+    """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = [pa.int64()] * 4 + [kind] * 2
-    last, held, out = None, [], []
+    last, size, held, out = None, None, [], []
 
     def ended() -> tuple:
         firsts, others = (np.concatenate(x) for x in zip(*held))
         n = int(max(firsts.max(initial=0), others.max(initial=0))) + words
+        n = n if size is None else min(n, size)
         stays, again = _covered(firsts, words, n), _covered(others, words, n)
         every, gone = stays | again, again & ~stays
         return (*last, int(every.sum()), int(gone.sum()), _spans(every), _spans(gone))
@@ -142,6 +146,7 @@ def by_text(batches, words: int):
         places = batch.column("places")
         at = places.offsets.to_numpy()
         flat = places.values.to_numpy()
+        sizes = batch.column("size").to_numpy() if "size" in batch.schema.names else None
         new = np.ones(len(t), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (null[1:] != null[:-1]) | (t[1:] != t[:-1])
         cut = np.append(np.flatnonzero(new), len(t))
@@ -150,7 +155,7 @@ def by_text(batches, words: int):
             if key != last:
                 if held:
                     out.append(ended())
-                last, held = key, []
+                last, size, held = key, None if sizes is None else int(sizes[a]), []
             first = np.zeros(int(at[b] - at[a]), bool)
             first[at[a:b][kept[a:b]] - at[a]] = True
             x = flat[at[a]: at[b]].astype(np.int64)

@@ -229,6 +229,23 @@ def test_paragraphs_keep_one_copy_of_each(spark):
     assert out[1] == text[1] and out[4] == text[4] and out[3].startswith(" ".join(own[3]))
 
 
+def test_paragraphs_reach_the_end_of_a_text(spark):
+    """Passages of 50 words and a few more, at the end of a text or all of it, leave fewer words than a whole paragraph."""
+    texts, size = {}, {}
+    for n in range(1, 121):
+        p = [f"p{n}_{i}" for i in range(50 + n % 5)]
+        a, b = ([f"{x}{n}_{i}" for i in range(60)] for x in "ab")
+        texts[n], texts[1000 + n] = a[:30] + p + a[30:], p if n % 2 else b + p
+        size[1000 + n] = len(p)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    gone = spans_of(paragraphs.repeats(docs).collect(), "removed")
+    assert sum(bool(gone.get(i)) for i in size) >= 0.98 * len(size) and not any(gone.get(n) for n in range(1, 121))
+    for i, w in gone.items():
+        assert w <= set(range(len(texts[i]) - size.get(i, 0), len(texts[i])))
+    out = {r.doc_id: r.text for r in paragraphs.without_repeats(docs).collect()}
+    assert all(len(out[i].split()) == len(texts[i]) - len(w) for i, w in gone.items())
+
+
 def test_paragraph_bands_are_tuned():
     for percent, recall, hashes in ((80, 0.99, 24), (80, 0.95, 24), (50, 0.9, 60), (100, 0.5, 4)):
         bands, rows = paragraphs.tune(percent, recall, hashes)
