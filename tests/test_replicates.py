@@ -23,6 +23,47 @@ def test_quick_weights_are_poisson_and_pure():
     assert len(np.unique(R.quick_weights(near, 0, 64, 42), axis=0)) == len(near)
 
 
+def test_quick_weights_are_mixed_a_piece_at_a_time():
+    """As one 64-bit word after the other gives them, in little more memory than they take themselves."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    units = rng.integers(-(1 << 62), 1 << 62, (6_000, 2))
+    tracemalloc.start()
+    w = R.quick_weights(units, 6, 506, 11)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w.dtype == np.float64 and used < w.nbytes + (6 << 20)
+    last = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & last
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & last
+        return x ^ x >> 31
+    cuts = np.rint(np.cumsum([np.exp(-1) / np.prod(np.arange(1.0, k + 1)) for k in range(12)]) * 65536)
+    for i in (0, 1, 2_999, 5_999):
+        a, b = (int(x) & last for x in units[i])
+        unit = mixed((mixed((a + 11 * 0x9E3779B97F4A7C15) & last) + b * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) & last)
+        for r in (6, 7, 8, 255, 505):
+            word = mixed((unit + (r // 4 + 1) * 0x9E3779B97F4A7C15) & last)
+            assert w[i, r - 6] == (cuts <= (word >> 16 * (r % 4) & 0xFFFF)).sum()
+    assert R.quick_weights(units[:0], 0, 10, 1).shape == (0, 10)
+
+
+def test_series_of_one_group_lie_side_by_side():
+    """Their weights are a slice, not a copy; rows of one series in several cells still share theirs."""
+    import pyarrow as pa
+
+    def batch(u, arm, cell):
+        x = pa.ListArray.from_arrays(np.arange(len(u) + 1, dtype=np.int32) * 2, np.arange(2.0 * len(u)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array([0] * len(u)), pa.array(arm, pa.int32()), pa.array(cell, pa.int32()), x],
+                                          names=["u0", "u1", "arm", "cell", "x"])
+    units, groups = next(R.by_row([batch([5, 6, 7, 8], [0] * 4, [1, 0, 1, 0])]))
+    assert units[:, 0].tolist() == [6, 8, 5, 7] and [g.own for g in groups] == [slice(0, 2), slice(2, 4)]
+    assert groups[1].x.tolist() == [[0, 4], [1, 5]] and [g.into[0][:2] for g in groups] == [(0, 0), (0, 1)]
+    units, groups = next(R.by_row([batch([5, 5, 7], [0, 0, 0], [0, 1, 1])]))
+    assert units[:, 0].tolist() == [5, 7] and [g.own.tolist() for g in groups] == [[0], [0, 1]]
+
+
 def test_portable_weights_are_those_of_the_key():
     units = np.array([[0, 5], [7, 0], [123_456, 99], [40, MODULUS - 1]])
     keys = units[:, 0] * MODULUS + units[:, 1]
