@@ -111,14 +111,14 @@ ZS = "UNION ALL ".join(
      + Q.policy(src="gr", z="(CASE tier WHEN 'high' THEN zh WHEN 'low' THEN zl ELSE zm END)") + "," + Q.replay(H, IDS + ", scenario") + "," + Q.costs(),
      "SELECT scenario, model, rd3(avg(cost)) AS cost, rd6(avg(fill)) AS fill FROM sc GROUP BY ALL"))
 def service_scenarios(spark, sf):
-    return K.service_scenarios(rows_of(spark, sf), H).select("scenario", "model", r("cost", 3), r("fill"))
+    return K.service_scenarios(P.prepared_panel(spark, sf)).select("scenario", "model", r("cost", 3), r("fill"))
 
 
 @add("lead_cv_sensitivity", Q.query(ROWS + ", gr AS (SELECT * FROM lr CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS cv)),"
      + Q.policy(src="gr", cv="cv") + "," + Q.replay(H, IDS + ", cv") + "," + Q.costs(),
      "SELECT cv, model, rd3(cost) AS cost, rd6(fill) AS fill, row_number() OVER (PARTITION BY cv ORDER BY cost, model)::BIGINT AS cost_rank FROM (SELECT cv, model, rd3(avg(cost)) AS cost, avg(fill) AS fill FROM sc GROUP BY ALL)"))
 def lead_cv_sensitivity(spark, sf):
-    d = K.lead_cv_sensitivity(rows_of(spark, sf), H).select("cv", "model", r("cost", 3), r("fill"))
+    d = K.lead_cv_sensitivity(P.prepared_panel(spark, sf)).select("cv", "model", r("cost", 3), r("fill"))
     return d.withColumn("cost_rank", N.ordinal("cost", ["cv"]))
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from partcast import config as C
-from partcast.config import CLEAN, CostTerms, Window
+from partcast.config import CLEAN, LEAD_CV, CostTerms, Window
 from partcast.functions import smoothing as S
 from partcast.functions.guarded import normal_quantile
 from partcast.functions.resampling import uniform_sql
 from partcast.operators.bootstrap import UNIT
 from partcast.operators.policy import by_tier, service_z, with_deployed_policy, with_normal_policy, with_quantile_policy
 from partcast.operators.replay import replay, with_costs
-from partcast.operators.scoring import arms_udf, fill_curve
+from partcast.operators.scoring import arms_udf, fill_curve, policy_means
 from partcast.plans.compare import by_model
 from partcast.sources.fixtures import KEYS
 
@@ -49,21 +49,18 @@ def cost_config_sweep(rows: DataFrame, horizon: int) -> DataFrame:
     return cells.selectExpr("h", "k", "p", "model", "hold + orders + short * p AS cost")
 
 
-def service_scenarios(rows: DataFrame, horizon: int) -> DataFrame:
+def service_scenarios(panel: DataFrame, window: Window = CLEAN, models: tuple[str, ...] = C.MODELS) -> DataFrame:
     """Mean cost and fill per service-level scenario and model."""
-    grid = [
-        {"scenario": n, "z_high": normal_quantile(a), "z_mid": normal_quantile(b), "z_low": normal_quantile(c)}
-        for n, a, b, c in C.SERVICE_SCENARIOS
-    ]
-    df = with_normal_policy(with_grid(rows, grid), z=by_tier("z_high", "z_mid", "z_low"))
-    df = with_costs(replay(df, horizon))
-    return df.groupBy("scenario", "model").agg(F.avg("cost").alias("cost"), F.avg("fill").alias("fill"))
-
-
-def lead_cv_sensitivity(rows: DataFrame, horizon: int) -> DataFrame:
-    df = with_grid(rows, [{"cv": v} for v in C.LEAD_CV_GRID])
-    df = with_costs(replay(with_normal_policy(df, lead_cv="cv"), horizon))
-    return df.groupBy("cv", "model").agg(F.avg("cost").alias("cost"), F.avg("fill").alias("fill"))
+    factors = [by_tier(*[f"{normal_quantile(p)!r}D" for p in targets]) for _, *targets in C.SERVICE_SCENARIOS]
+    means = policy_means(panel, [(z, LEAD_CV) for z in factors], window, models)
+    names = ", ".join(f"'{n}'" for n, *_ in C.SERVICE_SCENARIOS)
+    return means.selectExpr(f"get(array({names}), place) AS scenario", "model", "cost", "fill")
+
+
+def lead_cv_sensitivity(panel: DataFrame, window: Window = CLEAN, models: tuple[str, ...] = C.MODELS) -> DataFrame:
+    """Mean cost and fill per variation of the lead time and model."""
+    means = policy_means(panel, [(service_z(), v) for v in C.LEAD_CV_GRID], window, models)
+    return means.selectExpr(f"get(array({', '.join(f'{v!r}D' for v in C.LEAD_CV_GRID)}), place) AS cv", "model", "cost", "fill")
 
 
 def deployed_replay(panel: DataFrame, deployed: DataFrame, window: Window = CLEAN, terms: CostTerms = CostTerms()) -> DataFrame:

@@ -131,3 +131,47 @@ def test_distributional_summary_counts_once_and_equals_columns(spark, sf):
         w = want[r["item_id"], r["site_id"], r["model"]]
         assert r["quantile"] == w["quantiles"][3]
         assert math.isclose(r["mae"], sum(abs(w["level"] - x) for x in w["test"]) / 4, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def odd_panel(panel):
+    """Some series of the panel, with a quarter without a number in most of them, and all the others."""
+    return panel.withColumn("y", F.expr("if(item_id % 5 = 0, transform(y, (v, i) -> if(i % 9 = item_id % 9, NULL, v)), y)"))
+
+
+def same_means(got, want, keys, values):
+    got, want = ({tuple(r[k] for k in keys): [r[v] for v in values] for r in d.collect()} for d in (got, want))
+    assert got.keys() == want.keys()
+    for k, x in want.items():
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-11, abs_tol=1e-11)) for a, b in zip(got[k], x)), k
+    return got
+
+
+def one_pass(df):
+    """The scores are made and summed in one step: no models, grids or arms as rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "inline(" not in plan
+
+
+def test_lead_cv_grid_is_summed_in_the_tasks(spark, sf):
+    panel = odd_panel(P.prepared_panel(spark, sf))
+    got = K.lead_cv_sensitivity(panel)
+    assert one_pass(got)
+    rows = K.with_grid(P.forecast_rows(panel), [{"cv": v} for v in C.LEAD_CV_GRID])
+    want = K.with_costs(K.replay(K.with_normal_policy(rows, lead_cv="cv"), 4)).groupBy("cv", "model").agg(
+        F.avg("cost").alias("cost"), F.avg("fill").alias("fill"))
+    assert len(same_means(got, want, ["cv", "model"], ["cost", "fill"])) == 3 * len(MODELS)
+    assert K.lead_cv_sensitivity(panel.limit(0)).count() == 0
+    none = K.lead_cv_sensitivity(panel.limit(3).withColumn("y", F.expr("transform(y, v -> CAST(NULL AS DOUBLE))")))
+    assert {(r["cost"], r["fill"]) for r in none.collect()} == {(None, 1.0)}
+
+
+def test_service_scenarios_are_summed_in_the_tasks(spark, sf):
+    from partcast.functions.guarded import normal_quantile
+    panel = odd_panel(P.prepared_panel(spark, sf))
+    got = K.service_scenarios(panel)
+    assert one_pass(got)
+    grid = [{"scenario": n} | {z: normal_quantile(p) for z, p in zip(("zh", "zm", "zl"), of)} for n, *of in C.SERVICE_SCENARIOS]
+    rows = K.with_grid(P.forecast_rows(panel), grid)
+    want = K.with_costs(K.replay(K.with_normal_policy(rows, z=K.by_tier("zh", "zm", "zl")), 4)).groupBy("scenario", "model").agg(
+        F.avg("cost").alias("cost"), F.avg("fill").alias("fill"))
+    assert len(same_means(got, want, ["scenario", "model"], ["cost", "fill"])) == 5 * len(MODELS)
