@@ -315,6 +315,5 @@ gg AS (SELECT arm, 'all' AS grp, model, mae, cost FROM arms
   UNION ALL SELECT arm, CASE WHEN hi THEN 'realised_holding' ELSE 'realised_stockout' END, model, mae, cost FROM arms JOIN real USING (arm, item_id, site_id)),"""
   + Q.means("gg", "arm, grp", {"mae": "avg(mae)", "cost": "avg(cost)"}) + "," + Q.rho("arm, grp", "mae", "cost"), "SELECT arm, grp, n, rd6(rho) AS rho FROM rho_t"))
 def specification_regime_rho(spark, sf):
-    rows = K.arm_rows(P.prepared_panel(spark, sf))
-    g = rows.selectExpr("*", f"explode(array('all', concat('fixed_', {K.regime()}), concat('realised_', realised))) AS grp")
-    return N.fleet_rho(g, ["arm", "grp"]).select("arm", "grp", "n", r("rho"))
+    means = K.arm_means(P.prepared_panel(spark, sf))
+    return N.vectors_rho(N.vectors_of(means, ["arm", "grp"], ["mae", "cost"])).select("arm", "grp", "n", r("rho"))

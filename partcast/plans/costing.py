@@ -12,7 +12,7 @@ from partcast.functions.resampling import uniform_sql
 from partcast.operators.bootstrap import UNIT
 from partcast.operators.policy import by_tier, service_z, with_deployed_policy, with_normal_policy, with_quantile_policy
 from partcast.operators.replay import replay, with_costs
-from partcast.operators.scoring import arms_udf, fill_curve, policy_means
+from partcast.operators.scoring import arm_cells, arms_udf, fill_curve, policy_means
 from partcast.plans.compare import by_model
 from partcast.sources.fixtures import KEYS
 
@@ -83,13 +83,38 @@ def arm_series(panel: DataFrame, metrics: tuple[str, ...] = ARM_METRICS, arms=C.
     realised label says which cost prevails on average over the models.
     """
     done = S.extend(panel, uniform_sql(UNIT, 42)).withColumn("_s", arms_udf(metrics, list(arms), models, terms)(
-        "y", "sba_alpha", "ses_alpha", "price", "lead_days", "lead_q", F.expr(service_z(terms)), "u"))
+        *[F.expr(x) for x in arm_inputs(terms)]))
     per = ", ".join(
         f"struct('{a[0]}' AS arm, " + ", ".join(f"_s.{m}_{i} AS {m}" for m in metrics)
         + f", if(_s.holding_{i} > 0, 'holding', 'stockout') AS realised)" for i, a in enumerate(arms))
     return done.selectExpr(*KEYS, "segment", "price", f"inline(array({per}))")
 
 
+def arm_inputs(terms: CostTerms = CostTerms()) -> list[str]:
+    """What the scores of the arms are made of; u is the draw of `uniform_sql`."""
+    return ["y", "sba_alpha", "ses_alpha", "price", "lead_days", "lead_q", service_z(terms), "u"]
+
+
+def arm_columns(panel: DataFrame, *keys: str, terms: CostTerms = CostTerms()) -> DataFrame:
+    """Keys, the price regime (1 is holding) and the inputs of the arms."""
+    return S.extend(panel, uniform_sql(UNIT, 42)).selectExpr(
+        *keys, f"if({regime(terms=terms)} = 'holding', 1, 0) AS own", *[f"{x} AS x{i}" for i, x in enumerate(arm_inputs(terms))])
+
+
+def arm_means(panel: DataFrame, metrics: tuple[str, ...] = ("mae", "cost"), arms=C.ARMS, models: tuple[str, ...] = C.MODELS,
+              terms: CostTerms = CostTerms()) -> DataFrame:
+    """(arm, grp, model, n, metrics): the means of :func:`arm_rows` over all series and per regime, by price (fixed) and by the
+    cost that prevails in the arm (realised); tasks send sums."""
+    cells = arm_cells(arm_columns(panel, terms=terms), list(arms), models, metrics, terms)
+    side = lambda bit: f"if({bit} = 1, 'holding', 'stockout')"
+    groups = cells.selectExpr(
+        "*", f"explode(array('all', concat('fixed_', {side('shiftright(cell, 1)')}), concat('realised_', {side('cell & 1')}))) AS grp")
+    names = ", ".join(f"'{a[0]}'" for a in arms)
+    return groups.groupBy("arm", "grp", "model").agg(
+        F.sum("n").alias("n"), *[F.expr(f"try_divide(sum(sum_{m}), sum(n_{m})) AS {m}") for m in metrics]
+    ).withColumn("arm", F.expr(f"get(array({names}), arm)"))
+
+
 def arm_rows(panel: DataFrame, metrics: tuple[str, ...] = ARM_METRICS, models: tuple[str, ...] = C.MODELS) -> DataFrame:
     """:func:`arm_series` with a row per model."""
     return by_model(arm_series(panel, metrics, models=models), list(metrics), ["arm", *KEYS, "segment", "price", "realised"], models)

@@ -175,3 +175,12 @@ def test_service_scenarios_are_summed_in_the_tasks(spark, sf):
     want = K.with_costs(K.replay(K.with_normal_policy(rows, z=K.by_tier("zh", "zm", "zl")), 4)).groupBy("scenario", "model").agg(
         F.avg("cost").alias("cost"), F.avg("fill").alias("fill"))
     assert len(same_means(got, want, ["scenario", "model"], ["cost", "fill"])) == 5 * len(MODELS)
+
+
+def test_arm_means_are_summed_in_the_tasks(spark, sf):
+    panel = odd_panel(P.prepared_panel(spark, sf))
+    got = K.arm_means(panel)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = K.arm_rows(panel).selectExpr("*", f"explode(array('all', concat('fixed_', {K.regime()}), concat('realised_', realised))) AS grp")
+    want = rows.groupBy("arm", "grp", "model").agg(F.avg("mae").alias("mae"), F.avg("cost").alias("cost"), F.count("*").alias("n"))
+    assert len(same_means(got, want, ["arm", "grp", "model"], ["mae", "cost", "n"])) >= 3 * len(C.ARMS) * len(MODELS)
