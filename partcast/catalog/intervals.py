@@ -71,7 +71,6 @@ def price_localization_1000(spark, sf):
 
 # --- arms -----------------------------------------------------------------------------------------
 
-ARM_NAMES = [a[0] for a in C.ARMS]
 ARM_GROUPS = """
 gg AS (SELECT *, 'fixed' AS label, 'all' AS grp FROM ar
   UNION ALL SELECT *, 'fixed', CASE WHEN price >= 1600 THEN 'holding' ELSE 'stockout' END FROM ar
@@ -88,13 +87,12 @@ FROM rp LEFT JOIN rho_t USING (arm, label, grp) GROUP BY arm, label, grp"""
 ar AS (SELECT arms.*, hi FROM arms JOIN (SELECT arm, item_id, site_id, avg(hold_cost) >= avg(short_cost) AS hi FROM arms GROUP BY ALL) USING (arm, item_id, site_id)),"""
     + ARM_GROUPS + ARM_RHO, ARM_ENDS))
 def grid_inference(spark, sf):
-    series = K.arm_series(P.prepared_panel(spark, sf, "part"), ("mae", "cost"))
-    return ends(V.arms_rho(series, ARM_NAMES, FEW, draw=R.portable_weights), "arm", "label", "grp", "n")
+    return ends(V.specification_rho(P.prepared_panel(spark, sf, "part"), FEW, draw=R.portable_weights), "arm", "label", "grp", "n")
 
 
 @add("grid_inference_2000")
 def grid_inference_2000(spark, sf):
-    return ends(V.arms_rho(K.arm_series(P.prepared_panel(spark, sf), ("mae", "cost")), ARM_NAMES, 2_000), "arm", "label", "grp", "n")
+    return ends(V.specification_rho(P.prepared_panel(spark, sf), 2_000), "arm", "label", "grp", "n")
 
 
 def information_arms(panel):

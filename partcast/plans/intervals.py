@@ -12,12 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from partcast import config as C
-from partcast.config import MODELS
+from partcast.config import MODELS, CostTerms
 from partcast.operators import replicates as R
 from partcast.operators.replicates import Arm
+from partcast.operators.scoring import arm_groups
 from partcast.plans.analyses import with_price_band
 from partcast.plans.compare import wide_scores
-from partcast.plans.costing import regime
+from partcast.plans.costing import arm_columns, regime
 from partcast.plans.inference import paired_differences, wide_metrics
 from partcast.sources.fixtures import KEYS
 
@@ -124,6 +125,11 @@ def price_localization(panel: DataFrame, rows_of, replicates: int, seed: int = 4
 
 # -- arms
 
+#: The cell of a series is twice its price regime and 1 more where holding costs prevail in the arm.
+ARM_VIEWS: dict[str, R.View] = {"fixed|all": (0, 4), "fixed|stockout": (0, 2), "fixed|holding": (2, 4),
+                                "realised|stockout": [0, 2], "realised|holding": [1, 3]}
+
+
 def arms_rho(series: DataFrame, arms: list[str], replicates: int, seed: int = 42, draw=R.quick_weights) -> DataFrame:
     """(arm, label, grp, n, point, lo, hi, p_le_zero, replicates, enough): rank correlation per arm, over all series and per
     regime, by price (fixed) and by which cost prevails in that arm (realised).
@@ -131,14 +137,22 @@ def arms_rho(series: DataFrame, arms: list[str], replicates: int, seed: int = 42
     series: keys, arm, price, realised, and mae and cost as arrays over the models; the arms of a series side by side share
     its weights.  The realised label is the arm's own, so a replicate decides with it which series its regimes hold.
     """
-    m, place = len(MODELS), {a: i for i, a in enumerate(arms)}
+    place = {a: i for i, a in enumerate(arms)}
     number = "CASE arm " + " ".join(f"WHEN '{a}' THEN {i}" for a, i in place.items()) + " END"
     long = series.where("NOT exists(mae, e -> e IS NULL) AND NOT exists(cost, e -> e IS NULL)").selectExpr(
         f"CAST({KEYS[0]} AS BIGINT) AS u0", f"CAST({KEYS[1]} AS BIGINT) AS u1", f"{number} AS arm",
         f"2 * {regime_cell()} + if(realised = 'holding', 1, 0) AS cell", "concat(array(1.0D), mae, cost) AS x")
-    views: dict[str, R.View] = {"fixed|all": (0, 4), "fixed|stockout": (0, 2), "fixed|holding": (2, 4),
-                                "realised|stockout": [0, 2], "realised|holding": [1, 3]}
-    stats = R.statistics(R.matrices(long, replicates, seed, draw=draw), arms, views, R.fleet_rho(m), replicates)
-    return R.interval(stats).selectExpr(
+    return _arms_interval(R.matrices(long, replicates, seed, draw=draw), arms, replicates)
+
+
+def specification_rho(panel: DataFrame, replicates: int, seed: int = 42, draw=R.quick_weights, arms=C.ARMS, terms: CostTerms = CostTerms()) -> DataFrame:
+    """:func:`arms_rho` of the specification arms of `costing.arm_series`, whose scores don't leave the task."""
+    rows = arm_columns(panel, *[f"CAST({k} AS BIGINT) AS u{i}" for i, k in enumerate(KEYS)], terms=terms)
+    read = arm_groups(list(arms), MODELS, ("mae", "cost"), terms)
+    return _arms_interval(R.matrices(rows, replicates, seed, draw=draw, read=read), [a[0] for a in arms], replicates)
+
+
+def _arms_interval(sums: DataFrame, arms: list[str], replicates: int) -> DataFrame:
+    return R.interval(R.statistics(sums, arms, ARM_VIEWS, R.fleet_rho(len(MODELS)), replicates)).selectExpr(
         "arm", "split(name, '[|]')[0] AS label", "split(name, '[|]')[1] AS grp", "CAST(n AS BIGINT) AS n", "point", "lo", "hi",
         "p_le_zero", "replicates", f"n >= {ENOUGH} AS enough")

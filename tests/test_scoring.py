@@ -184,3 +184,13 @@ def test_arm_means_are_summed_in_the_tasks(spark, sf):
     rows = K.arm_rows(panel).selectExpr("*", f"explode(array('all', concat('fixed_', {K.regime()}), concat('realised_', realised))) AS grp")
     want = rows.groupBy("arm", "grp", "model").agg(F.avg("mae").alias("mae"), F.avg("cost").alias("cost"), F.count("*").alias("n"))
     assert len(same_means(got, want, ["arm", "grp", "model"], ["mae", "cost", "n"])) >= 3 * len(C.ARMS) * len(MODELS)
+
+
+def test_specification_bootstrap_scores_in_its_own_task(spark, sf):
+    from partcast.plans import intervals as V
+    panel = odd_panel(P.prepared_panel(spark, sf)).repartition(3)
+    got = V.specification_rho(panel, 40)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    want = V.arms_rho(K.arm_series(panel, ("mae", "cost")), [a[0] for a in C.ARMS], 40)
+    names = ["n", "point", "lo", "hi", "p_le_zero", "replicates", "enough"]
+    assert len(same_means(got, want, ["arm", "label", "grp"], names)) == 5 * len(C.ARMS)
